@@ -23,6 +23,9 @@ MOJIBAKE = {
     "Ã´": "ô", "Ã»": "û", "Ã§": "ç", "Ã«": "ë",
 }
 
+# Every character that Unicode counts as white space, which `\s` alone does not cover.
+WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 
 # --- imputation -------------------------------------------------------------------------------------------
 
@@ -286,11 +289,11 @@ def remove_invalid(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def clean_text(c: Column) -> Column:
     """Trimmed, without tags, mis-decoded letters repaired, runs of white space to one blank. Null stays null."""
-    c = F.regexp_replace(c, r"^\s+|\s+$", "")
-    c = F.regexp_replace(c, "<.*?>", "")
+    c = F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
+    c = F.regexp_replace(c, "<[^\n]*?>", "")
     for wrong, right in MOJIBAKE.items():
         c = F.replace(c, F.lit(wrong), F.lit(right))
-    return F.regexp_replace(c, r"\s+", " ")
+    return F.regexp_replace(c, rf"{WHITE}+", " ")
 
 
 def fit_text_columns(df: DataFrame, minimum_mean_length: int = 10) -> list[str]:

@@ -1,3 +1,3 @@
 """Importing this module fills the catalogue."""
 
-from prismill.plans import business  # noqa: F401
+from prismill.plans import business, quality  # noqa: F401
