@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:
@@ -79,7 +80,7 @@ def chi_square_tail(x: float, df: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation over n pairs."""
 
@@ -93,6 +94,6 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(*pair) for pair in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or b < 1 else chi_square_tail(a, b) for a, b in zip(x, df)], dtype="float64")

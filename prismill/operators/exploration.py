@@ -191,9 +191,9 @@ def continuity(df: DataFrame, date: str) -> DataFrame:
 
     times = df.where(F.col(date).isNotNull()).select(epoch_seconds(F.col(date)).alias("at")).distinct()
     gaps = previous_gap(times, "at").where("gap IS NOT NULL")
-    median = quantiles(gaps, ["gap"], [0.5]).select(F.col("quantiles")[0].alias("median_gap"), F.lit(1).alias("one"))
-    span = gaps.agg(F.max("gap").alias("max_gap"), F.count(F.lit(1)).alias("n_gaps"), F.lit(1).alias("one"))
-    return span.join(median, "one").select("n_gaps", "median_gap", "max_gap", (F.col("max_gap") > 5 * F.col("median_gap")).alias("has_gaps"))
+    median = quantiles(gaps, ["gap"], [0.5]).select(F.col("quantiles")[0]).scalar()
+    span = gaps.agg(F.count(F.lit(1)).alias("n_gaps"), F.max("gap").alias("max_gap"))
+    return span.select("n_gaps", median.alias("median_gap"), "max_gap", (F.col("max_gap") > 5 * median).alias("has_gaps"))
 
 
 def task_type(df: DataFrame, target: str, classes: int = 20) -> str:
