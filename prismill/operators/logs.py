@@ -217,7 +217,7 @@ def cache_entries(requests: DataFrame, ttl_seconds: int) -> DataFrame:
             return marked.select("cache_key", F.col("at").alias("cached_at"))
         size = grown
         step = jumps.select("cache_key", F.col("at").alias("later"), F.col("later").alias("furthest"))
-        jumps = durable(jumps.join(step, ["cache_key", "later"], "left").select("cache_key", "at", F.col("furthest").alias("later")))
+        jumps = durable(jumps.join(step, ["cache_key", "later"]).where("furthest IS NOT NULL").select("cache_key", "at", F.col("furthest").alias("later")))
 
 
 def cache_statistics(requests: DataFrame, ttl_seconds: int, cost_per_call: float = 0.0) -> DataFrame:
@@ -303,7 +303,7 @@ def json_in_text(text: Column) -> Column:
         F.regexp_extract(text, r"(?s)```\s*(.*?)\s*```", 1),
         F.regexp_extract(text, r"(?s)\{.*\}", 0),
     )
-    return F.filter(candidates, lambda c: F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull())[0]
+    return F.get(F.filter(candidates, lambda c: F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull()), F.lit(0))
 
 
 def sql_in_text(text: Column) -> Column:
@@ -320,13 +320,21 @@ def parsed_decisions(answers: DataFrame, key: str, text: str) -> DataFrame:
     choice = "map<string, struct<strategy: string, action: string, method: string, reasoning: string>>"
     fields = ", ".join([f"{s}: {choice}" for s in SECTIONS] + [f"{s}: string" for s in SINGLE_CHOICES] + ["duplicates: struct<action: string, reasoning: string>"])
     parsed = answers.select(key, F.from_json(json_in_text(F.col(text)), f"struct<{fields}>").alias("j")).where("j IS NOT NULL")
-    parts = []
-    for section, (stage, field, accepted) in SECTIONS.items():
-        entry = lambda k, v, s=section, st=stage, f=field, a=accepted: F.struct(
-            F.lit(st).alias("stage"), F.lit(s).alias("section"), k.alias("column_name"), v[f].alias("choice"), v["reasoning"].alias("reasoning"), v[f].isin(*a).alias("accepted")
-        )
-        rows = F.transform(F.map_entries(F.col(f"j.{section}")), lambda e, entry=entry: entry(e["key"], e["value"]))
-        parts.append(F.coalesce(rows, F.array()))
+    def entries(section: str, stage: str, field: str, accepted: Sequence[str]) -> Column:
+        def entry(e: Column) -> Column:
+            choice, why = e["value"][field], e["value"]["reasoning"]
+            return F.struct(
+                F.lit(stage).alias("stage"),
+                F.lit(section).alias("section"),
+                e["key"].alias("column_name"),
+                choice.alias("choice"),
+                why.alias("reasoning"),
+                choice.isin(*accepted).alias("accepted"),
+            )
+
+        return F.coalesce(F.transform(F.map_entries(F.col(f"j.{section}")), entry), F.array())
+
+    parts = [entries(section, *rule) for section, rule in SECTIONS.items()]
     nothing = F.lit(None).cast("string")
     for section, (stage, accepted) in SINGLE_CHOICES.items():
         value = F.col(f"j.{section}")
@@ -453,7 +461,6 @@ def tag_questions(questions: DataFrame, text: str, values: dict[str, Sequence[st
     span = F.when(says("last month"), "last_month").when(says("last quarter", "last 3 months"), "last_3_months").when(says("last year"), "last_year").when(says("this year"), "this_year")
     filters = F.array_compact(F.array(*[F.when(says(v.lower()), f"{dim}={v}") for dim, known in (values or {}).items() for v in known]).cast("array<string>"))
     limit = F.when(says("top 5", "first 5"), 5).when(says("top 10", "first 10"), 10)
-    # "top 10" also holds for "top 100", as it does for "top 5" and "top 50".
     route = F.when(says(*MODELLING_WORDS) | q.rlike(r"\.(csv|xlsx|xls)$"), "modelling").otherwise("query")
     fields = F.array_compact(
         F.array(F.when(says("region"), "region"), F.when(says("product"), "product"), F.when(says("sales", "amount"), "amount"), F.when(says("date", "time", "month"), "date"))
