@@ -197,27 +197,28 @@ def cache_entries(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     one at or after the end of the entry before. A hit does not renew an entry.
 
     The entries of a key form a chain over its request times. Each time gets a pointer to the first time at
-    least one lifetime later (values carried backwards over a global order), and the chain is marked by
-    doubling the pointers: logarithmically many joins on unique (key, time) pairs, whatever the share of one key.
-    Input: model, prompt, requested_at.
+    least one lifetime later (values carried backwards over a global order). Marks then travel along the
+    pointers while the pointers double, so that a chain over n lifetimes takes log2(n) rounds of joins on
+    unique (key, time) pairs, whatever the share of one key. Input: model, prompt, requested_at.
     """
     life = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
     times = requests.select(prompt_key(F.col("model"), F.col("prompt")).alias("cache_key"), F.col("requested_at").alias("at")).distinct()
     events = times.select("cache_key", "at", F.lit(1).alias("kind"), F.col("at").alias("target"), F.lit(None).cast("timestamp_ntz").alias("source"))
     asks = times.select("cache_key", (F.col("at") + life).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("target"), F.col("at").alias("source"))
     found = carry(events.unionByName(asks), ["target"], ["at", "kind"], ["cache_key"], forward=False)
-    jumps = durable(found.where("kind = 0").select("cache_key", F.col("source").alias("at"), F.col("target").alias("later")))
-    marked = durable(times.groupBy("cache_key").agg(F.min("at").alias("at")))
-    size = marked.count()
-    while True:
-        reached = marked.join(jumps, ["cache_key", "at"]).where("later IS NOT NULL").select("cache_key", F.col("later").alias("at"))
-        marked = durable(marked.unionByName(reached).distinct())
-        grown = marked.count()
-        if grown == size:
-            return marked.select("cache_key", F.col("at").alias("cached_at"))
-        size = grown
-        step = jumps.select("cache_key", F.col("at").alias("later"), F.col("later").alias("furthest"))
-        jumps = durable(jumps.join(step, ["cache_key", "later"]).where("furthest IS NOT NULL").select("cache_key", "at", F.col("furthest").alias("later")))
+    pointers = found.where("kind = 0").select("cache_key", F.col("source").alias("at"), F.col("target").alias("later"))
+    first = times.groupBy("cache_key").agg(F.min("at").alias("at"), F.lit(True).alias("marked"))
+    state = durable(pointers.join(first, ["cache_key", "at"], "left").select("cache_key", "at", "later", F.coalesce("marked", F.lit(False)).alias("marked")))
+    spans = state.groupBy("cache_key").agg(F.timestamp_diff("SECOND", F.min("at"), F.max("at")).alias("seconds"))
+    longest = spans.agg(F.max("seconds")).first()[0] or 0
+    for _ in range((longest // int(ttl_seconds)).bit_length()):
+        ahead = state.select("cache_key", F.col("at").alias("later"), F.col("later").alias("furthest"))
+        joined = state.join(ahead, ["cache_key", "later"], "left")
+        own = F.struct("at", F.col("furthest").alias("later"), "marked")
+        pushed = F.struct(F.col("later").alias("at"), F.lit(None).cast("timestamp_ntz").alias("later"), F.lit(True).alias("marked"))
+        sent = joined.select("cache_key", F.explode(F.when(F.col("marked") & F.col("later").isNotNull(), F.array(own, pushed)).otherwise(F.array(own))).alias("m"))
+        state = durable(sent.select("cache_key", "m.*").groupBy("cache_key", "at").agg(F.max("later").alias("later"), F.max("marked").alias("marked")))
+    return state.where("marked").select("cache_key", F.col("at").alias("cached_at"))
 
 
 def cache_statistics(requests: DataFrame, ttl_seconds: int, cost_per_call: float = 0.0) -> DataFrame:

@@ -5,7 +5,6 @@ Random choices order rows by a hash of their key, so that the same rows come out
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from prismill.functions.keys import shuffle_key
 from prismill.functions.numbers import numeric_columns, percent, sample_skewness, share
 from prismill.operators.exploration import task_type
+from prismill.operators.neighbours import nearest
 from prismill.operators.ordered import cumulate, ntile
 from prismill.operators.profiling import fit_bounds, outlier_report, per_column
 from prismill.operators.quantiles import fit_quantiles
@@ -240,33 +240,9 @@ def undersample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFra
 def smote(
     df: DataFrame, target: str, minority: object, columns: Sequence[str], key: str, copies: int, k: int = 5, projections: int = 4, reach: int = 5, seed: int = 42
 ) -> DataFrame:
-    """`copies` synthetic rows per minority row, each on the line to one of about k nearest minority rows.
-
-    Candidates are the `reach` rows before and after in the order of several random projections: a join on
-    exact positions, so that every row meets the same small number of others however dense its surroundings are.
-    """
-    draw = random.Random(seed)
-    weights = [[draw.gauss(0, 1) for _ in columns] for _ in range(projections)]
+    """`copies` synthetic rows per minority row, each on the line to one of about k nearest minority rows."""
     points = df.where(F.col(target) == F.lit(minority)).select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    places = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("line"),
-                F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("place"),
-            )
-            for p, w in enumerate(weights)
-        ]
-    )
-    lines = points.select(key, "x", F.explode(places).alias("at")).select(key, "x", "at.line", "at.place")
-    ordered = cumulate(lines, ["place", key], ["line"], index=ORDER)
-    offsets = [o for o in range(-reach, reach + 1) if o]
-    wanted = ordered.select(key, "x", "line", F.explode(F.array(*[F.col(ORDER) + o for o in offsets])).alias(ORDER))
-    others = ordered.select("line", ORDER, F.col(key).alias("__other"), F.col("x").alias("y"))
-    met = wanted.join(others, ["line", ORDER]).dropDuplicates([key, "__other"])
-    distance = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = met.withColumn("distance", distance).groupBy(key).agg(
-        F.first("x").alias("x"), F.slice(F.array_sort(F.collect_list(F.struct("distance", "__other", "y"))), 1, k).alias("near")
-    )
+    near = nearest(points, points, key, len(columns), k, projections, reach, seed, skip_self=True)
     made = near.select(key, "x", "near", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     pick = F.pmod(F.xxhash64(key, "copy", F.lit(seed)), F.size("near").cast("bigint")).cast("int")
     u = F.pmod(F.xxhash64(key, "copy", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0
