@@ -234,7 +234,7 @@ def train_models(train: DataFrame, test: DataFrame, estimators: dict[str, Callab
 
 def sized(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
     """Fewer partitions for few rows: iterative fits start a job per step, and tiny tasks are all overhead."""
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), rows // rows_per_partition + 1)))
+    return df.coalesce(rows // rows_per_partition + 1)
 
 
 def run_training(

@@ -1,3 +1,3 @@
 """Importing this module fills the catalogue."""
 
-from prismill.plans import business, explore, journal, learn, prepare, quality  # noqa: F401
+from prismill.plans import business, explore, journal, learn, prepare, quality, streams  # noqa: F401
