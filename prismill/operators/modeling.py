@@ -324,6 +324,10 @@ def feature_names(frame: DataFrame) -> list[str]:
 def importances(model: PipelineModel, frame: DataFrame, top: int = 10) -> DataFrame:
     """(feature, importance) of the last stage: impurity importance, or the size of the first row of coefficients."""
     last, names = model.stages[-1], feature_names(model.transform(frame.limit(0)))
+    # Scalers drop the names of their slots; the assembler in front of them knows them.
+    numbers = [c for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "__numbers" for c in s.getInputCols()]
+    scaled = {f"__scaled_{i}": c for i, c in enumerate(numbers)}
+    names = [scaled.get(n, n) for n in names]
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray()
     elif hasattr(last, "coefficientMatrix"):

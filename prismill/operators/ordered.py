@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prismill.session import durable, range_partitions
+from prismill.session import durable
 
 SLICE = "__slice"
 
@@ -19,12 +19,13 @@ SLICE = "__slice"
 def ranged(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
     """Rows range-partitioned by group and order with their partition number in `__slice`.
 
-    The number must not change between two uses, hence the checkpoint. `order_by` should end in a unique
-    key: only then can a value that holds a third of all rows be split.
+    Without `slices` the session's shuffle partitions are the upper bound, and adaptive execution joins small
+    neighbours. The number must not change between two uses, hence the checkpoint. `order_by` should end in a
+    unique key: only then can a value that holds a third of all rows be split.
     """
-    slices = slices or range_partitions(df.sparkSession)
     keys = [F.col(c) for c in (*partition_by, *order_by)]
-    return durable(df.repartitionByRange(slices, *keys).withColumn(SLICE, F.spark_partition_id()))
+    spread = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    return durable(spread.withColumn(SLICE, F.spark_partition_id()))
 
 
 def _with_offsets(rows: DataFrame, offsets: DataFrame, partition_by: Sequence[str]) -> DataFrame:

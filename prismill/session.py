@@ -49,6 +49,3 @@ def durable(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
-
-def range_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -65,12 +65,14 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | None = None
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # Whether a line fits must not depend on the columns a query happens to read.
+        .option("columnPruning", False)
         .csv(path)
     )
-    good = frame.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # The reject side keeps every column in its scan: Spark refuses to read the corrupt column alone.
-    bad = frame.where(F.col(CORRUPT).isNotNull())
-    return Loaded(denull_nan(good), bad)
+    # Always true; Spark refuses scans of the corrupt column alone, as a plain count would ask for.
+    first = F.col(schema.fieldNames()[0])
+    frame = frame.where(first.isNull() | (F.length(first.cast("string")) >= 0))
+    return Loaded(denull_nan(frame.where(F.col(CORRUPT).isNull()).drop(CORRUPT)), frame.where(F.col(CORRUPT).isNotNull()))
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
