@@ -127,11 +127,11 @@ usage AS (SELECT agent, sha256(prompt) AS version_hash, MAX(length(prompt)) AS p
 @named(
     "version_usage",
     f"""WITH {PROMPTS} SELECT agent, version_hash, CAST(prompt_length AS INTEGER) AS prompt_length, n_requests, CAST(total_tokens AS BIGINT) AS total_tokens, ROUND(total_cost, 6) AS total_cost,
-ROUND(mean_tokens, 6) AS mean_tokens, ROUND(mean_cost, 8) AS mean_cost FROM usage""",
+ROUND(mean_tokens, 9) AS mean_tokens, ROUND(mean_cost, 14) AS mean_cost FROM usage""",
 )
 def version_usage(t: Tables) -> DataFrame:
     return logs.version_usage(prompt_log(t)).withColumns(
-        {"total_cost": F.round("total_cost", 6), "mean_tokens": F.round("mean_tokens", 6), "mean_cost": F.round("mean_cost", 8)}
+        {"total_cost": F.round("total_cost", 6), "mean_tokens": F.round("mean_tokens", 9), "mean_cost": F.round("mean_cost", 14)}
     )
 
 
