@@ -11,6 +11,7 @@ from prismill.functions.numbers import numeric_columns, pearson, percent
 from prismill.operators.profiling import is_numeric, per_column
 from prismill.operators.quantiles import fit_quantiles, quantiles
 from prismill.operators.statistics import least_squares
+from prismill.session import durable
 
 TIME_WORDS = ("date", "time", "year", "month", "day")
 
@@ -48,7 +49,8 @@ def pie_slices(df: DataFrame, x: str, y: str, slices: int = 10) -> DataFrame:
     The kept rows come from a bounded sort; only the others are summed.
     """
     rows = df.select(F.col(x).cast("string").alias("slice"), F.col(y).cast("double").alias("value"))
-    top = rows.orderBy(F.col("value").desc(), "slice").limit(slices + 1)
+    # Kept as they are, since sums of doubles computed anew may order near ties differently.
+    top = durable(rows.orderBy(F.col("value").desc(), "slice").limit(slices + 1))
     w = Window.orderBy(F.col("value").desc(), "slice")
     # At most slices + 1 rows reach this window.
     placed = top.withColumn("position", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))

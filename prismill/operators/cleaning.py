@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from prismill.functions.dates import DATE_LAYOUTS, parse_date
 from prismill.functions.numbers import numeric_columns, share, string_columns
 from prismill.operators.ordered import carry
-from prismill.operators.profiling import fit_bounds, missing_report, per_column
+from prismill.operators.profiling import fit_bounds, missing_report, outlier_report, per_column
 from prismill.operators.quantiles import fit_quantiles
 
 # Mis-decoded two-byte sequences and the letters they stand for.
@@ -24,6 +24,7 @@ MOJIBAKE = {
 }
 
 # Every character that Unicode counts as white space, which `\s` alone does not cover.
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -288,12 +289,18 @@ def remove_invalid(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def clean_text(c: Column) -> Column:
-    """Trimmed, without tags, mis-decoded letters repaired, runs of white space to one blank. Null stays null."""
-    c = F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
-    c = F.regexp_replace(c, "<[^\n]*?>", "")
+    """Trimmed, without tags, mis-decoded letters repaired, runs of white space to one blank. Null stays null.
+
+    Character lists are trimmed and translated, which costs a fraction of the same sets in a regular expression;
+    the rarer repairs run only on texts that hold their first character.
+    """
+    c = F.btrim(c, F.lit(WHITE_CHARACTERS))
+    c = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^\n]*?>", "")).otherwise(c)
+    repaired = c
     for wrong, right in MOJIBAKE.items():
-        c = F.replace(c, F.lit(wrong), F.lit(right))
-    return F.regexp_replace(c, rf"{WHITE}+", " ")
+        repaired = F.replace(repaired, F.lit(wrong), F.lit(right))
+    c = F.when(F.contains(c, F.lit("Ã")), repaired).otherwise(c)
+    return F.regexp_replace(F.translate(c, WHITE_CHARACTERS, " " * len(WHITE_CHARACTERS)), " {2,}", " ")
 
 
 def fit_text_columns(df: DataFrame, minimum_mean_length: int = 10) -> list[str]:
@@ -370,34 +377,40 @@ def clean(
     null_threshold: float | None = None,
     dominance_threshold: float | None = None,
     protect: Sequence[str] = (),
+    count: bool = False,
 ) -> tuple[DataFrame, Audit]:
     """Impute, de-duplicate, then as asked: handle outliers (clip or remove), drop invalid rows, mostly empty and
-    nearly constant columns. `rules=None` derives rules from names. Fits run as they are needed; the frame stays lazy."""
+    nearly constant columns. `rules=None` derives rules from names. Fits run as they are needed; the frame stays lazy.
+    With `count` the audit also tells how many cells or rows each step touched, at the price of a pass per step."""
     audit = Audit()
     imputer = fit_imputer(df, strategies, order_by=order_by)
+    gaps = {r["column_name"]: r["n_missing"] for r in missing_report(df).collect()} if count else {}
     df = imputer.transform(df)
     for c, s in imputer.strategies.items():
-        audit.add("impute", s, c)
-    df = remove_duplicates(df, subset, "first", order_by)
-    audit.add("duplicates", "keep_first")
+        audit.add("impute", s, c, gaps.get(c))
+
+    def removed(before: DataFrame, after: DataFrame) -> int | None:
+        return before.count() - after.count() if count else None
+
+    once = remove_duplicates(df, subset, "first", order_by)
+    audit.add("duplicates", "keep_first", affected=removed(df, once))
+    df = once
     if outliers:
         bounds = fit_bounds(df, [c for c in numeric_columns(df) if c not in protect])
+        found = {r["column_name"]: r["n_outliers"] for r in outlier_report(df, bounds).collect()} if count and bounds else {}
         df = clip(df, bounds) if outliers in ("clip", "cap") else remove_outliers(df, bounds)
         for c in bounds:
-            audit.add("outliers", outliers, c)
+            audit.add("outliers", outliers, c, found.get(c))
     rules = rules_by_name(df) if rules is None else rules
     if rules:
+        broken = {r["column_name"]: r["n_invalid"] for r in invalid_report(df, rules).collect()} if count else {}
         df = remove_invalid(df, rules)
         for r in rules:
-            audit.add("invalid", "remove", r.column)
-    if null_threshold is not None:
-        gone = [c for c in high_null_columns(df, null_threshold) if c not in protect]
-        df = df.drop(*gone)
-        for c in gone:
-            audit.add("high_null", "drop_column", c)
-    if dominance_threshold is not None:
-        gone = [c for c in low_variance_columns(df, dominance_threshold) if c not in protect]
-        df = df.drop(*gone)
-        for c in gone:
-            audit.add("low_variance", "drop_column", c)
+            audit.add("invalid", "remove", r.column, broken.get(r.column))
+    for step, threshold, find in (("high_null", null_threshold, high_null_columns), ("low_variance", dominance_threshold, low_variance_columns)):
+        if threshold is not None:
+            gone = [c for c in find(df, threshold) if c not in protect]
+            df = df.drop(*gone)
+            for c in gone:
+                audit.add(step, "drop_column", c)
     return df, audit

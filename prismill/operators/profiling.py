@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from prismill.functions.dates import parse_date
 from prismill.functions.numbers import (
@@ -17,6 +18,7 @@ from prismill.functions.numbers import (
     string_columns,
 )
 from prismill.operators.quantiles import fit_quantiles, quantiles
+from prismill.sources.readers import read_file
 
 # One generated aggregate stays well below the JVM method limits up to about this many expressions.
 EXPRESSIONS_PER_JOB = 200
@@ -288,3 +290,17 @@ def characteristics(df: DataFrame) -> DataFrame:
 
 def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.NumericType)
+
+
+@dataclass(frozen=True)
+class FileProfile:
+    rows: DataFrame
+    rejects: DataFrame
+    findings: DataFrame
+    types: DataFrame
+
+
+def profile_file(spark: SparkSession, path: str, schema: T.StructType | None = None, exact: bool = True) -> FileProfile:
+    """Load, validate and classify a file in one call; everything but the schema stays lazy."""
+    loaded = read_file(spark, path, schema)
+    return FileProfile(loaded.rows, loaded.rejects, validate_frame(loaded.rows, exact), semantic_types(loaded.rows, exact))

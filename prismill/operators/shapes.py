@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prismill.functions.dates import month_text
 from prismill.operators.ordered import cumulate
+from prismill.session import durable
 
 AGGREGATES = {
     "sum": F.sum,
@@ -107,14 +108,27 @@ def top_per_group(totals: DataFrame, group: str, by: str, n: int, ties: Sequence
 
 
 def ranked(totals: DataFrame, group: str, by: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.col(by).desc())
-    return totals.withColumn("rank", F.rank().over(w)).withColumn("dense_rank", F.dense_rank().over(w))
+    """Adds rank, dense_rank and at_or_above (rows of the group with at least this value), largest first, nulls last.
+
+    Each distinct value of a group is counted once and the counts accumulate over slices, so that a group with
+    most of the rows is not sorted in one task. The totals are kept, as sums of doubles computed twice need not be equal.
+    """
+    totals = durable(totals)
+    values = totals.groupBy(F.col(group).alias("__group"), F.col(by).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    values = values.withColumn("__last", F.col("__value").isNull()).withColumn("__down", -F.col("__value"))
+    placed = cumulate(values, ["__last", "__down"], ["__group"], sums={"at_or_above": F.col("__n")}, index="dense_rank")
+    same = totals[group].eqNullSafe(placed["__group"]) & totals[by].eqNullSafe(placed["__value"])
+    return totals.join(placed, same).select(
+        *totals.columns,
+        (F.col("at_or_above") - F.col("__n") + 1).cast("int").alias("rank"),
+        F.col("dense_rank").cast("int").alias("dense_rank"),
+        "at_or_above",
+    )
 
 
 def at_least_as_large(totals: DataFrame, group: str, by: str, n: int) -> DataFrame:
     """Rows with at most n rows of the same group at or above them: what a correlated count tells, without pairs."""
-    peers = Window.partitionBy(group).orderBy(F.col(by).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return totals.withColumn("at_or_above", F.count(F.lit(1)).over(peers)).where(F.col("at_or_above") <= n)
+    return ranked(totals, group, by).where(F.col("at_or_above") <= n).drop("rank", "dense_rank")
 
 
 def running_total(df: DataFrame, order_by: Sequence[str], measure: str, partition_by: Sequence[str] = ()) -> DataFrame:

@@ -220,7 +220,8 @@ SELECT region, brand, total, CAST(RANK() OVER (PARTITION BY region ORDER BY tota
 CAST(DENSE_RANK() OVER (PARTITION BY region ORDER BY total DESC) AS INTEGER) AS dense_rank FROM totals""",
 )
 def ranks_per_region(t: Tables) -> DataFrame:
-    return shapes.ranked(sales(t).groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total")), "region", "total")
+    totals = sales(t).groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total"))
+    return shapes.ranked(totals, "region", "total").drop("at_or_above")
 
 
 @named(

@@ -133,10 +133,25 @@ _scaled(
 )
 
 
-@named("scale_yeo_johnson")
+def _power_sql() -> str:
+    """The three grids of powers, each around the best of the one before."""
+    curve = "CASE WHEN p = 0 THEN ln(value + 1) ELSE (power(value + 1, p) - 1) / p END"
+    likelihood = f"-COUNT(*) / 2.0 * ln(var_pop({curve})) + (p - 1) * SUM(sign(value) * ln(1 + abs(value)))"
+    best = "(SELECT p FROM l{i} ORDER BY l DESC LIMIT 1)"
+    parts = ["g1 AS (SELECT i / 4.0::DOUBLE AS p FROM range(-16, 17) r(i))"]
+    for i, step in ((1, 0.25), (2, 0.025), (3, 0.0025)):
+        parts.append(f"l{i} AS (SELECT p, {likelihood} AS l FROM events, g{i} GROUP BY p)")
+        if i < 3:
+            parts.append(f"g{i + 1} AS (SELECT {best.format(i=i)} + i * {step}::DOUBLE / 10 AS p FROM range(-10, 11) r(i))")
+    return f"""WITH {", ".join(parts)}, y AS (SELECT event_id, {curve} AS y FROM events, (SELECT {best.format(i=3)} AS p))
+SELECT event_id, ROUND((y - (SELECT AVG(y) FROM y)) / (SELECT stddev_pop(y) FROM y), 6) + 0.0 AS value FROM y"""
+
+
+@named("scale_yeo_johnson", _power_sql())
 def scale_yeo_johnson(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "value")
-    return rounded(preparation.fit_scaler(rows, ["value"], "yeo_johnson").transform(rows))
+    scaled = preparation.fit_scaler(rows, ["value"], "yeo_johnson").transform(rows)
+    return scaled.select("event_id", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @named(
@@ -215,7 +230,21 @@ def mutual_information(t: Tables) -> DataFrame:
     return rounded(preparation.mutual_information(t.lineitem, ["l_quantity", "l_tax"], "l_returnflag", 4), 9)
 
 
-@named("validate_split")
+@named(
+    "validate_split",
+    """WITH n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY md5(c_custkey || '|42'), c_custkey) > ceil((SELECT COUNT(*) FROM customer) * 0.2) AS side FROM customer),
+v AS (SELECT 'c_custkey' AS column_name, c_custkey * 1.0 AS value, side FROM n UNION ALL SELECT 'c_nationkey', c_nationkey * 1.0, side FROM n UNION ALL SELECT 'c_acctbal', c_acctbal, side FROM n),
+z AS (SELECT column_name, COUNT(*) FILTER (WHERE side) * 1.0 AS a, COUNT(*) FILTER (WHERE NOT side) * 1.0 AS b FROM v GROUP BY 1),
+g AS (SELECT column_name, value, COUNT(*) FILTER (WHERE side) AS x, COUNT(*) FILTER (WHERE NOT side) AS y FROM v GROUP BY 1, 2),
+k AS (SELECT column_name, SUM(x) OVER w * 1.0 AS cx, SUM(y) OVER w * 1.0 AS cy FROM g WINDOW w AS (PARTITION BY column_name ORDER BY value ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT column_name, a, b, MAX(abs(cx / a - cy / b)) AS d FROM k JOIN z USING (column_name) GROUP BY column_name, a, b),
+p AS (SELECT column_name, d, CASE WHEN d * d * a * b / (a + b) < 0.09 THEN 1 ELSE (SELECT SUM(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * d * d * a * b / (a + b))) FROM range(1, 101) r(i)) END AS p FROM d)
+SELECT 'same_columns' AS "check", NULL AS column_name, true AS passed, 0.0::DOUBLE AS detail UNION ALL SELECT 'train_not_empty', NULL, COUNT(*) > 0, COUNT(*)::DOUBLE FROM n WHERE side UNION ALL SELECT 'test_not_empty', NULL, COUNT(*) > 0, COUNT(*)::DOUBLE FROM n WHERE NOT side
+UNION ALL SELECT 'train_finite', NULL, COUNT(*) = 0, COUNT(*)::DOUBLE FROM n WHERE side AND (c_custkey IS NULL OR c_nationkey IS NULL OR c_acctbal IS NULL OR c_mktsegment IS NULL)
+UNION ALL SELECT 'test_finite', NULL, COUNT(*) = 0, COUNT(*)::DOUBLE FROM n WHERE NOT side AND (c_custkey IS NULL OR c_nationkey IS NULL OR c_acctbal IS NULL OR c_mktsegment IS NULL)
+UNION ALL SELECT 'no_shared_rows', NULL, COUNT(*) = 0, COUNT(*)::DOUBLE FROM (SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM n WHERE side INTERSECT SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM n WHERE NOT side)
+UNION ALL SELECT 'same_distribution', column_name, p >= 0.05, ROUND(d, 6)::DOUBLE FROM p""",
+)
 def validate_split(t: Tables) -> DataFrame:
     rows, _ = preparation.split(t.customer, "c_acctbal", "c_custkey")
     columns = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"]

@@ -605,6 +605,40 @@ def clean_composite(t: Tables) -> DataFrame:
     return rounded(frame)
 
 
+@named(
+    "clean_audit",
+    WITH_GAPPY
+    + """, m AS (SELECT event_type AS mode FROM gappy WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY COUNT(*) DESC, event_type LIMIT 1)
+SELECT 'impute' AS name, 'median' AS action, 'value' AS column_name, COUNT(*) - COUNT(value) AS affected FROM gappy
+UNION ALL SELECT 'impute', 'mode', 'event_type', COUNT(*) - COUNT(event_type) FROM gappy UNION ALL SELECT 'impute', 'median', 'event_id', CAST(0 AS BIGINT) UNION ALL SELECT 'impute', 'median', 'user_id', CAST(0 AS BIGINT)
+UNION ALL SELECT 'duplicates', 'keep_first', NULL, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT user_id, COALESCE(event_type, (SELECT mode FROM m)) FROM gappy)) FROM gappy""",
+)
+def clean_audit(t: Tables) -> DataFrame:
+    rows = gappy(t).drop("ts")
+    _, audit = cleaning.clean(rows, subset=["user_id", "event_type"], order_by=["event_id"], count=True)
+    return audit.table(t.spark).drop("step")
+
+
+@named(
+    "profiled_file",
+    """SELECT 'o_orderkey' AS column_name, 'numerical' AS semantic_type, COUNT(DISTINCT o_orderkey) AS n_distinct, COUNT(*) - COUNT(o_orderkey) AS n_missing FROM orders
+UNION ALL SELECT 'o_custkey', 'numerical', COUNT(DISTINCT o_custkey), COUNT(*) - COUNT(o_custkey) FROM orders UNION ALL SELECT 'o_orderstatus', 'categorical', COUNT(DISTINCT o_orderstatus), COUNT(*) - COUNT(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'numerical', COUNT(DISTINCT o_totalprice), COUNT(*) - COUNT(o_totalprice) FROM orders UNION ALL SELECT 'o_orderdate', 'datetime', COUNT(DISTINCT o_orderdate), COUNT(*) - COUNT(o_orderdate) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'categorical', COUNT(DISTINCT o_orderpriority), COUNT(*) - COUNT(o_orderpriority) FROM orders""",
+)
+def profiled_file(t: Tables) -> DataFrame:
+    return profiling.profile_file(t.spark, f"{t.folder}/orders.parquet").types
+
+
+@named("standard_spelling", "SELECT p_name, COUNT(*) AS n FROM part GROUP BY p_name")
+def standard_spelling(t: Tables) -> DataFrame:
+    """Part names in other case and with stray blanks; near enough to 1 the threshold keeps different names apart."""
+    name = F.col("p_name")
+    variant = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" "), name)).when(F.col("p_partkey") % 5 == 0, F.initcap(name)).otherwise(name)
+    rows = t.part.select("p_partkey", variant.alias("p_name"))
+    return fuzzy.standardize(rows, "p_name", 0.97).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @named("standard_categories")
 def standard_categories(t: Tables) -> DataFrame:
     """Part names with misspelt variants (a doubled letter in every seventh, upper case in every fifth row) brought together."""
