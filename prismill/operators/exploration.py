@@ -19,7 +19,7 @@ FUTURE_WORDS = ("approved", "result", "outcome", "status", "decision", "final",
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """(class, n, pct) of the non-null target values."""
     counts = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(target)).scalar()
+    total = counts.select(F.sum("n")).scalar()
     return counts.select("class", "n", percent(F.col("n"), total).alias("pct"))
 
 

@@ -71,8 +71,8 @@ def fit_encoder(df: DataFrame, column: str, method: str, target: str | None = No
         stats = present.groupBy(F.col(column).alias("value")).agg(F.avg(target).alias("code"))
         return Encoder(column, method, cardinality or 0, stats=stats, default=stats.agg(F.avg("code")).first()[0])
     if method == "frequency":
-        total = present.select(F.count(F.lit(1))).scalar()
         stats = present.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        total = stats.select(F.sum("n")).scalar()
         # A null keeps a null code, except where the column has so many values that rare ones count as zero.
         default = 0.0 if cardinality is not None and cardinality > 1000 else None
         return Encoder(column, method, cardinality or 0, stats=stats.select("value", share(F.col("n"), total).alias("code")), default=default)

@@ -112,9 +112,12 @@ def semantic_types(df: DataFrame, exact: bool = True) -> DataFrame:
     )
     measures = {"n_missing": lambda c: F.count_if(c.isNull()), "n_rows": lambda c: F.count(F.lit(1))}
     facts = per_column(df, df.columns, measures).join(distinct_counts(df, df.columns, exact), "column_name")
-    if text:
+    # Only columns whose smallest and largest value parse can consist of dates; the others skip the costly check of every value.
+    ends = [(parse_date(F.min(c)).isNotNull() & parse_date(F.max(c)).isNotNull()).alias(c) for c in text]
+    likely = [c for c, fits in df.agg(*ends).first().asDict().items() if fits] if text else []
+    if likely:
         parsed = {"all_dates": lambda c: (F.count(c) > 0) & (F.count_if(c.isNotNull() & parse_date(c).isNull()) == 0)}
-        facts = facts.join(per_column(df, text, parsed), "column_name", "left")
+        facts = facts.join(per_column(df, likely, parsed), "column_name", "left")
     else:
         facts = facts.withColumn("all_dates", F.lit(False))
     kind, spread = kinds[F.col("column_name")], share(F.col("n_distinct"), F.col("n_rows"))

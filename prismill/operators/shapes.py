@@ -62,6 +62,14 @@ def last_months(df: DataFrame, date: str, months: int) -> DataFrame:
     return df.where(F.col(date) >= F.add_months(newest, -months))
 
 
+def recent_totals(df: DataFrame, dims: Sequence[str], date: str, measure: str, months: int) -> DataFrame:
+    """Monthly totals of the last months in the data. The rows are read once: totals per day are kept, and both
+    the newest date and the cut come from them."""
+    daily = durable(df.groupBy(*dims, date).agg(F.sum(measure).alias("total"), F.count(F.lit(1)).alias("n_rows")))
+    recent = last_months(daily, date, months)
+    return recent.groupBy(*dims, month_text(F.col(date)).alias("month")).agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))
+
+
 def as_of_range(df: DataFrame, date: str, as_of: str, span: str) -> DataFrame:
     """Rows in a range that ends at `as_of`: last_month, last_3_months, last_year, this_year, month_to_date."""
     end = F.lit(as_of).cast("date")
@@ -88,6 +96,14 @@ def busy_groups(df: DataFrame, key: str, more_than: int) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than).select(key)
 
 
+def totals_of_busy(df: DataFrame, key: str, dims: Sequence[str], measure: str, more_than: int) -> DataFrame:
+    """Totals by `dims` over the keys with more rows than a bound, in one pass: the window runs over the few
+    (key, dims) totals instead of joining the rows with a second scan of themselves."""
+    partial = df.groupBy(key, *dims).agg(F.sum(measure).alias("total"), F.count(F.lit(1)).alias("n_rows"))
+    counted = partial.withColumn("__rows", F.sum("n_rows").over(Window.partitionBy(key))).where(F.col("__rows") > more_than)
+    return counted.groupBy(*dims).agg(F.sum("total").alias("total"), F.sum("n_rows").alias("n_rows"))
+
+
 def year_pivot(df: DataFrame, dims: Sequence[str], date: str, measure: str, years: Sequence[int]) -> DataFrame:
     """One column per year by conditional sums: one pass, no pivot shuffle per value."""
     sums = [F.sum(F.when(F.year(date) == y, F.col(measure)).otherwise(0.0)).alias(f"total_{y}") for y in years]
@@ -95,9 +111,9 @@ def year_pivot(df: DataFrame, dims: Sequence[str], date: str, measure: str, year
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of each value; the total over the few grouped rows, not over the input."""
+    """Count and share of each value; the total comes from the grouped rows, whose shuffle is shared."""
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(column)).scalar()
+    total = counted.select(F.sum(F.when(F.col(column).isNotNull(), F.col("n")))).scalar()
     return counted.withColumn("share", F.when(F.col(column).isNotNull(), F.try_divide(F.col("n").cast("double"), total)))
 
 

@@ -65,9 +65,12 @@ def region_filter_projection(t: Tables) -> DataFrame:
 FROM sales WHERE date >= (SELECT MAX(date) FROM sales) - INTERVAL 6 MONTH GROUP BY ALL""",
 )
 def last_six_months(t: Tables) -> DataFrame:
-    recent = shapes.last_months(sales(t), "date", 6)
-    totals = shapes.totals_by(recent, ["region", month_text(F.col("date")).alias("month")], "amount")
-    return totals.select("region", "month", money("total"), "n_rows")
+    return shapes.recent_totals(sales(t), ["region"], "date", "amount", 6).select("region", "month", money("total"), "n_rows")
+
+
+@named("last_three_months_of_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 3 MONTH")
+def last_three_months_of_orders(t: Tables) -> DataFrame:
+    return shapes.last_months(t.orders.withColumn("day", F.col("o_orderdate").cast("date")), "day", 3).select("o_orderkey", "o_totalprice")
 
 
 def _span(span: str, condition: str):
@@ -114,15 +117,15 @@ def first_quarter_sales(t: Tables) -> DataFrame:
 
 @named(
     "default_listing",
-    f"""{WITH_SALES} SELECT date, region, product, ROUND(amount, 4) AS amount FROM sales
-ORDER BY date DESC, order_id, line, part_id, amount LIMIT 10""",
+    f"""{WITH_SALES} SELECT CAST(date AS VARCHAR) AS date, region, product, ROUND(amount, 4) AS amount FROM sales
+ORDER BY sales.date DESC, order_id, line, part_id, amount LIMIT 10""",
 )
 def default_listing(t: Tables) -> DataFrame:
     return (
         sales(t)
         .orderBy(F.col("date").desc(), "order_id", "line", "part_id", "amount")
         .limit(10)
-        .select("date", "region", "product", money("amount"))
+        .select(F.col("date").cast("string").alias("date"), "region", "product", money("amount"))
     )
 
 
@@ -185,9 +188,16 @@ def totals_by_region_product(t: Tables) -> DataFrame:
 WHERE part_id IN (SELECT part_id FROM sales GROUP BY part_id HAVING COUNT(*) > 30) GROUP BY region""",
 )
 def busy_parts_by_region(t: Tables) -> DataFrame:
-    rows = sales(t)
-    kept = rows.join(shapes.busy_groups(rows, "part_id", 30), "part_id", "left_semi")
-    return shapes.totals_by(kept, ["region"], "amount").select("region", "n_rows", money("total"))
+    return shapes.totals_of_busy(sales(t), "part_id", ["region"], "amount", 30).select("region", "n_rows", money("total"))
+
+
+@named(
+    "lines_of_busy_parts",
+    """SELECT l_returnflag, COUNT(*) AS n_rows FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING COUNT(*) > 30) GROUP BY l_returnflag""",
+)
+def lines_of_busy_parts(t: Tables) -> DataFrame:
+    kept = t.lineitem.join(shapes.busy_groups(t.lineitem, "l_partkey", 30), "l_partkey", "left_semi")
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @named(
@@ -327,13 +337,13 @@ def lookup_with_default(t: Tables) -> DataFrame:
 
 @named(
     "identical_rows",
-    """SELECT p_brand, p_type, p_size FROM part WHERE p_retailprice < 1000
-INTERSECT SELECT p_brand, p_type, p_size FROM part WHERE p_retailprice >= 1000""",
+    """SELECT p_brand, p_type, p_size FROM part WHERE p_retailprice < 950
+INTERSECT SELECT p_brand, p_type, p_size FROM part WHERE p_retailprice >= 950""",
 )
 def identical_rows(t: Tables) -> DataFrame:
     rows = t.part.select("p_brand", "p_type", "p_size", "p_retailprice")
-    cheap = rows.where("p_retailprice < 1000").drop("p_retailprice")
-    return shapes.identical_rows(cheap, rows.where("p_retailprice >= 1000").drop("p_retailprice"))
+    cheap = rows.where("p_retailprice < 950").drop("p_retailprice")
+    return shapes.identical_rows(cheap, rows.where("p_retailprice >= 950").drop("p_retailprice"))
 
 
 @named(

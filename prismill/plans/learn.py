@@ -73,7 +73,13 @@ def train_regressors(t: Tables) -> DataFrame:
     return rounded(modeling.run_training(priced_lines(t), "o_totalprice", "o_orderkey", "regression", models=names, k=3).results, 4)
 
 
-@named("training_stages")
+@named(
+    "training_stages",
+    """WITH n AS (SELECT COUNT(*) AS n, CAST(floor(COUNT(*) * 0.8) AS BIGINT) AS k FROM orders)
+SELECT 'split' AS stage, 'time_based' AS detail, n AS size FROM n UNION ALL SELECT 'train', 'time', k FROM n UNION ALL SELECT 'test', 'time_based', n - k FROM n
+UNION ALL SELECT 'features', 'standard', CAST(2 AS BIGINT) UNION ALL SELECT 'models', CASE WHEN n < 1000 THEN 'small' WHEN n < 100000 THEN 'medium' ELSE 'large' END, CAST(1 AS BIGINT) FROM n
+UNION ALL SELECT 'best', 'LinearRegression', CAST(1 AS BIGINT)""",
+)
 def training_stages(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", F.month("o_orderdate").alias("month"), "o_custkey")
     return modeling.run_training(rows, "o_totalprice", "o_orderkey", "regression", date="o_orderdate", models=["LinearRegression"], k=3).stages

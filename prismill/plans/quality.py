@@ -261,12 +261,12 @@ def value_column_total(t: Tables) -> DataFrame:
 @named(
     "describe_table",
     """WITH s AS (SELECT * FROM nation ORDER BY n_nationkey LIMIT 3), n AS (SELECT COUNT(*) AS row_count FROM nation)
-SELECT CAST(1 AS INTEGER) AS position, 'n_nationkey' AS column_name, 'int' AS data_type, (SELECT list(CAST(n_nationkey AS VARCHAR) ORDER BY n_nationkey) FROM s) AS sample_values, row_count FROM n
-UNION ALL SELECT 2, 'n_name', 'string', (SELECT list(n_name ORDER BY n_nationkey) FROM s), row_count FROM n
-UNION ALL SELECT 3, 'n_regionkey', 'int', (SELECT list(CAST(n_regionkey AS VARCHAR) ORDER BY n_nationkey) FROM s), row_count FROM n""",
+SELECT CAST(1 AS INTEGER) AS position, 'n_nationkey' AS column_name, 'int' AS data_type, (SELECT string_agg(CAST(n_nationkey AS VARCHAR), '|' ORDER BY n_nationkey) FROM s) AS sample_values, row_count FROM n
+UNION ALL SELECT 2, 'n_name', 'string', (SELECT string_agg(n_name, '|' ORDER BY n_nationkey) FROM s), row_count FROM n
+UNION ALL SELECT 3, 'n_regionkey', 'int', (SELECT string_agg(CAST(n_regionkey AS VARCHAR), '|' ORDER BY n_nationkey) FROM s), row_count FROM n""",
 )
 def describe_table(t: Tables) -> DataFrame:
-    return readers.describe_table(t.nation, 3, ["n_nationkey"])
+    return readers.describe_table(t.nation, 3, ["n_nationkey"]).withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
 @named(
@@ -467,13 +467,15 @@ def date_report(t: Tables) -> DataFrame:
     return cleaning.date_report(_dated(t), ["entered", "booked"])
 
 
-@named("auto_dates", _DATED + " SELECT o_orderkey, entered, CAST(try_strptime(booked, '%Y-%m-%d') AS DATE) AS booked FROM dated")
+@named("auto_dates", _DATED + " SELECT o_orderkey, entered, strftime(try_strptime(booked, '%Y-%m-%d'), '%Y-%m-%d') AS booked, 'date' AS booked_type FROM dated")
 def auto_dates(t: Tables) -> DataFrame:
     from prismill.functions.dates import parse_date
 
     rows = _dated(t)
     found = cleaning.fit_date_columns(rows)
-    return rows.select(*[parse_date(F.col(c)).alias(c) if c in found else F.col(c) for c in rows.columns])
+    typed = rows.select(*[parse_date(F.col(c)).alias(c) if c in found else F.col(c) for c in rows.columns])
+    kind = typed.schema["booked"].dataType.simpleString()
+    return typed.withColumn("booked", F.col("booked").cast("string")).withColumn("booked_type", F.lit(kind))
 
 
 @named(
@@ -495,11 +497,12 @@ def typed_columns(t: Tables) -> DataFrame:
 @named(
     "chart_frame",
     _DATED
-    + """ SELECT CAST(try_strptime(booked, '%Y-%m-%d') AS DATE) AS date, CAST(o_orderkey AS DOUBLE) AS amount FROM dated WHERE o_orderkey % 6 <> 0""",
+    + """ SELECT strftime(try_strptime(booked, '%Y-%m-%d'), '%Y-%m-%d') AS date, CAST(o_orderkey AS DOUBLE) AS amount FROM dated WHERE o_orderkey % 6 <> 0""",
 )
 def chart_frame(t: Tables) -> DataFrame:
     amount = F.when(F.col("o_orderkey") % 6 == 0, "unknown").otherwise(F.col("o_orderkey").cast("string"))
-    return cleaning.chart_frame(_dated(t).select(F.col("booked").alias("date"), amount.alias("amount")))
+    typed = cleaning.chart_frame(_dated(t).select(F.col("booked").alias("date"), amount.alias("amount")))
+    return typed.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 _RULES = [cleaning.Rule("c_acctbal", 0), cleaning.Rule("c_nationkey", 0, 20), cleaning.Rule("c_mktsegment", allowed=("AUTOMOBILE", "BUILDING", "MACHINERY"))]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +33,12 @@ def pin_runtime(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = os.environ.get("PRISMILL_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="prismill-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """The cluster's checkpoint folder; a temporary one only where none is configured, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismill-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def differences(df, con, sql: str) -> list[str]:
     if sorted(sql_names) != names:
         return [f"columns {names} vs {sorted(sql_names)}"]
     want = [tuple(plain(row[sql_names.index(n)]) for n in names) for row in result.fetchall()]
-    found = []
+    found = [] if want else ["no rows"]
     for f in df.schema.fields:
         expected = KINDS.get(f.dataType.simpleString())
         if expected and expected != sql_types[f.name]:
