@@ -639,7 +639,8 @@ def standard_spelling(t: Tables) -> DataFrame:
     name = F.col("p_name")
     variant = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" "), name)).when(F.col("p_partkey") % 5 == 0, F.initcap(name)).otherwise(name)
     rows = t.part.select("p_partkey", variant.alias("p_name"))
-    return fuzzy.standardize(rows, "p_name", 0.97).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    together = fuzzy.standardize(rows, "p_name", 0.97).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    return together.select(F.lower(F.trim("p_name")).alias("p_name"), "n")
 
 
 @named("standard_categories")

@@ -33,3 +33,20 @@ def test_gives_rows(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+ORDERED = [
+    "running_total_per_customer", "ntile_by_balance", "event_gaps", "time_halves", "sorted_quantiles", "forward_fill", "backward_fill_per_user",
+    "trend", "drift", "rank_correlation", "ranks_per_region", "at_most_three_above", "stratified_split", "group_split", "time_folds", "oversample",
+    "roc_auc", "roc_auc_one_vs_rest", "version_changes", "cache_entries", "validate_split", "continuity",
+]
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_agrees_over_many_slices(spark, con, name):
+    """Small slices are normally joined; kept apart, every total has to cross them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert differences(QUERIES[name](spark, DATA), con, SQL[name]) == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
