@@ -40,22 +40,22 @@ def _plain(df: DataFrame, *times: str) -> DataFrame:
     "stream_tumbling",
     f"""{WITH_TRACES}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, start_time) AS s, * FROM traces)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, agent, COUNT(*) AS n_traces, COUNT(*) FILTER (WHERE NOT success) AS n_errors,
-ROUND(AVG(latency_ms), 6) AS mean_latency FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT MAX(start_time) FROM traces) - INTERVAL 2 HOUR GROUP BY s, agent""",
+ROUND(AVG(latency_ms), 10) AS mean_latency FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT MAX(start_time) FROM traces) - INTERVAL 2 HOUR GROUP BY s, agent""",
 )
 def stream_tumbling(t: Tables) -> DataFrame:
     found = replay.run_to_table(monitors.trace_windows(trace_stream(t), "1 hour", "2 hours"))
-    return rounded(_plain(found.drop("p95_latency"), "window_start", "window_end"))
+    return rounded(_plain(found.drop("p95_latency"), "window_start", "window_end"), 10)
 
 
 @named(
     "stream_sliding",
     f"""{WITH_TRACES}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, start_time) - i * INTERVAL 6 HOUR AS s, traces.* FROM traces, range(0, 4) r(i))
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, agent, COUNT(*) AS n_traces, COUNT(*) FILTER (WHERE NOT success) AS n_errors,
-ROUND(AVG(latency_ms), 6) AS mean_latency FROM w WHERE s + INTERVAL 1 DAY <= (SELECT MAX(start_time) FROM traces) - INTERVAL 1 HOUR GROUP BY s, agent""",
+ROUND(AVG(latency_ms), 10) AS mean_latency FROM w WHERE s + INTERVAL 1 DAY <= (SELECT MAX(start_time) FROM traces) - INTERVAL 1 HOUR GROUP BY s, agent""",
 )
 def stream_sliding(t: Tables) -> DataFrame:
     found = replay.run_to_table(monitors.trace_windows(trace_stream(t), "1 day", "1 hour", "6 hours"))
-    return rounded(_plain(found.drop("p95_latency"), "window_start", "window_end"))
+    return rounded(_plain(found.drop("p95_latency"), "window_start", "window_end"), 10)
 
 
 @named(
