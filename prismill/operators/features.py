@@ -237,8 +237,9 @@ def term_counts(df: DataFrame, key: str, column: str, max_terms: int | None = No
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     if max_terms is None:
         return counts
-    # From the counts, not from the texts: both branches then share one scan and one shuffle.
-    vocabulary = counts.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "term").limit(max_terms)
+    # A second scan, but a small shuffle: terms combine on the map side, and the semi join below then filters
+    # the words before they are counted per key, so that only pairs of the vocabulary are shuffled at all.
+    vocabulary = terms.groupBy("term").agg(F.count(F.lit(1)).alias("total")).orderBy(F.col("total").desc(), "term").limit(max_terms)
     return counts.join(vocabulary.select("term"), "term", "left_semi")
 
 
