@@ -66,3 +66,42 @@ def linked_credentials(table):
         written(F.concat("base", "linked")).alias("spans"),
         F.size("linked").cast("bigint").alias("n_linked"),
     )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+often AS (SELECT s FROM shingles GROUP BY s HAVING count(*) > 1),
+held AS (SELECT doc_id, s FROM shingles SEMI JOIN often USING (s)),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM held a JOIN held b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT node, v FROM reach JOIN links ON seen = u)
+SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(seen) AS component_id
+FROM reach LEFT JOIN sizes ON node = sizes.doc_id GROUP BY node
+"""
+
+
+@query("op1_ngram_join", JACCARD_SQL)
+def ngram_join(table):
+    """Components of near-duplicate documents."""
+    from prismill.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+TOXIC_AT = 0.3
+
+
+@query("op2_toxicity")
+def toxicity(table):
+    """Toxicity of all documents, learned from the labelled ones that are not held out."""
+    from prismill.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
+
+    docs = table("documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_lexicon(training_rows(docs, table("labels"))))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
