@@ -105,3 +105,11 @@ def toxicity(table):
     docs = table("documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_lexicon(training_rows(docs, table("labels"))))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
+
+
+@query("op9_robust_outliers")
+def robust_outliers(table):
+    """Quality rules over all documents, by language and source."""
+    from prismill.llm.outliers import reject_outliers
+
+    return reject_outliers(table("documents").select("doc_id", "text", "lang", "source"))
