@@ -113,3 +113,14 @@ def robust_outliers(table):
     from prismill.llm.outliers import reject_outliers
 
     return reject_outliers(table("documents").select("doc_id", "text", "lang", "source"))
+
+
+@query("op8_lexical_packing")
+def lexical_packing(table):
+    """All documents in windows of 4096 tokens."""
+    import public_tokenizers
+
+    from prismill.llm.packing import pack
+
+    pieces = pack(table("documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
