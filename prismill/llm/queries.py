@@ -124,3 +124,26 @@ def lexical_packing(table):
 
     pieces = pack(table("documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_weak_quality")
+def weak_quality(table):
+    """Quality of all documents from overlapping heuristics."""
+    from prismill.llm.weak_quality import score_quality
+
+    return score_quality(table("documents").select("doc_id", "text"))
+
+
+@query("op7_chunk_dedup")
+def chunk_dedup(table):
+    """Passages of all documents that another one has as well; documents without any are listed with zeros."""
+    from prismill.llm.chunk_dedup import shared_passages
+
+    docs = table("documents").select("doc_id", "text")
+    none = F.array().cast("array<bigint>")
+    found = shared_passages(docs)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",")
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
+        F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce("holders", none).alias("holders"),
+    )
