@@ -1,12 +1,13 @@
 """A quality classifier without labels: overlapping heuristics, their accuracies by expectation-maximisation, a hashed linear scorer.
 
 Every heuristic votes good, bad or nothing on each document. Documents with equal votes are alike for the label model, so the
-EM runs on the counts of vote patterns (at most 3 ** labellers rows, whatever the corpus). Its posteriors are soft labels
+EM runs on the counts of vote patterns (each labeller votes one way or not at all: at most 2 ** 16, whatever the corpus). Its posteriors are soft labels
 for a logistic model over hashed words and statistics, fitted on a bounded number of documents and applied to all.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,47 +23,63 @@ from prismill.session import durable
 # Documents that the scorer is fitted on, and its number of hashed features.
 FIT_ROWS, WIDTH = 8_000, 1 << 15
 GOOD, BAD, NONE = 1, 0, 2
-# A measure of the text, below (or equal) which limit it votes for what, and above which limit.
+# The measures in order; then the labellers, each a measure, whether it speaks from a limit up or down, the limit, and
+# its vote. Several look at the same flaw, which is what lets their agreement tell how far each may be trusted.
+MEASURES = ("words", "symbols", "symbol_words", "odd_signs", "repeated_words", "distinct", "same_word", "packed", "repeated_lines", "capitals", "capital_words", "exclaimed", "letters", "ended_lines")
 LABELLERS = (
-    ("words", 30, BAD, 80, GOOD),
-    ("symbols_per_word", 0.02, GOOD, 0.15, BAD),
-    ("repeated_words", 0.10, GOOD, 0.40, BAD),
-    ("repeated_lines", 0.10, GOOD, 0.30, BAD),
-    ("capitals", 0.20, GOOD, 0.50, BAD),
-    ("word_length", 2.5, BAD, 3.5, GOOD),
-    ("distinct_words", 0.15, BAD, 0.35, GOOD),
-    ("ended_lines", 0.20, BAD, 0.60, GOOD),
-    ("letters", 0.60, BAD, 0.75, GOOD),
+    ("words", "<=", 20, BAD),
+    ("symbols", ">=", 0.20, BAD),
+    ("symbol_words", ">=", 0.20, BAD),
+    ("odd_signs", ">=", 0.06, BAD),
+    ("repeated_words", ">=", 0.40, BAD),
+    ("distinct", "<=", 0.40, BAD),
+    ("same_word", ">=", 0.20, BAD),
+    ("packed", "<=", 0.20, BAD),
+    ("repeated_lines", ">=", 0.40, BAD),
+    ("capitals", ">=", 0.50, BAD),
+    ("capital_words", ">=", 0.50, BAD),
+    ("exclaimed", ">=", 0.30, BAD),
+    ("letters", "<=", 0.75, BAD),
+    ("letters", ">=", 0.92, GOOD),
+    ("distinct", ">=", 0.60, GOOD),
+    ("ended_lines", ">=", 0.60, GOOD),
 )
+_NOT_LETTERS = bytes(b for b in range(256) if b > 127 or not chr(b).isalpha())
+_NOT_CAPITALS = bytes(b for b in range(256) if not 65 <= b <= 90)
+_USUAL = bytes(b for b in range(256) if b > 127 or chr(b).isalnum() or chr(b).isspace() or chr(b) in ".,;:'-?()" + '"')
+SPAN = 100  # words over which distinct words are counted
 
 
 def measures(text: bytes) -> list[float]:
-    """One value per labeller."""
+    """One value per entry of MEASURES; shares are per word, line, letter or character."""
     n, chars, symbols, again, repeated = statistics(text)
     lines = [line.rstrip() for line in text.split(b"\n") if line.strip()]
-    plain = text.decode("utf-8", "replace")
-    letters = sum(map(str.isalpha, plain)) if not plain.isascii() else len(text.translate(None, _NOT_LETTERS))
-    capitals = len(text.translate(None, _NOT_CAPITALS))
-    words = text.lower().split()
+    ascii_letters = len(text.translate(None, _NOT_LETTERS))
+    letters = ascii_letters if text.isascii() else sum(map(str.isalpha, text.decode("utf-8", "replace")))
+    words = text.split()
+    spans = [words[k : k + SPAN] for k in range(0, max(1, n - SPAN // 2), SPAN)] if n else []
+    some, size = max(n, 1), max(len(text), 1)
     return [
         float(n),
-        symbols / max(n, 1),
-        repeated / max(n, 1),
+        symbols / some,
+        sum(len(w.translate(None, b"#*$%&|<>")) < len(w) for w in words) / some if symbols else 0.0,
+        len(text.translate(None, _USUAL)) / size,
+        repeated / some,
+        sum(len(set(s)) / len(s) for s in spans) / len(spans) if spans else 1.0,
+        sum(map(bytes.__eq__, words, words[1:])) / some,
+        len(zlib.compress(text, 1)) / size if size > 500 else 1.0,
         again / max(len(lines), 1),
-        capitals / max(letters, 1),
-        chars / max(n, 1),
-        len(set(words)) / max(n, 1) * min(1.0, max(n, 1) / 500) + (1 - min(1.0, max(n, 1) / 500)) * (len(set(words)) / max(n, 1) > 0.1),
-        sum(line.endswith((b".", b"!", b"?", b":", b'"', b")")) for line in lines) / max(len(lines), 1),
+        len(text.translate(None, _NOT_CAPITALS)) / max(ascii_letters, 1),
+        sum(map(bytes.isupper, words)) / some,
+        text.count(b"!") / some,
         letters / max(chars, 1),
+        sum(line.endswith((b".", b"!", b"?", b":", b'"', b")")) for line in lines) / max(len(lines), 1),
     ]
 
 
-_NOT_LETTERS = bytes(b for b in range(256) if not chr(b).isalpha() or b > 127)
-_NOT_CAPITALS = bytes(b for b in range(256) if not 65 <= b <= 90)
-
-
 def votes(values: list[float]) -> list[int]:
-    return [below if v <= low else above if v >= high else NONE for v, (_, low, below, high, above) in zip(values, LABELLERS)]
+    named = dict(zip(MEASURES, values))
+    return [vote if (named[m] >= limit if way == ">=" else named[m] <= limit) else NONE for m, way, limit, vote in LABELLERS]
 
 
 def hashed(words: list[bytes], values: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,33 +91,29 @@ def hashed(words: list[bytes], values: list[float]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([code, np.array(steps, np.int64)]), np.concatenate([share, np.full(len(steps), 0.5)])
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of each pattern, chance of a vote given the class [labeller, class, vote], share of good) by EM.
+def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: float = 0.85) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posterior of good for each pattern, [labeller, class] chance to speak, share of good) by EM.
 
-    `patterns` holds GOOD, BAD or NONE. Silence says nothing. The start trusts each labeller with `prior`; a weak Dirichlet
-    prior of the same shape keeps the classes from changing places.
+    `patterns` holds GOOD, BAD or NONE. A labeller that votes one way has two accuracies: how often it speaks about documents
+    of its class, and how often it wrongly speaks about the others; both are estimated, so that a labeller which praises
+    nearly everything counts for little. Beta priors worth a hundredth of the documents keep the classes from changing places.
     """
-    k = patterns.shape[1]
-    chance = np.full((k, 2, 2), 1 - prior)
-    chance[:, [0, 1], [0, 1]] = prior
-    weak, good = chance * 0.01 * max(counts.sum(), 1.0), prior
-    posterior = np.full(len(patterns), good)
+    k, total = patterns.shape[1], float(counts.sum())
+    speaks = (patterns != NONE).astype(np.float64)
+    blames = np.array([vote == BAD for *_, vote in LABELLERS[:k]])
+    start = np.where(blames[:, None], [0.35, 0.02], [0.5, 0.9])  # columns: bad, good
+    chance, weak, good = start.copy(), 0.01 * total + 1, prior
+    posterior = np.full(len(patterns), prior)
     for _ in range(rounds):
-        logs = np.log(np.array([1 - good, good]))[None, :].repeat(len(patterns), 0)
-        for j in range(k):
-            spoken = patterns[:, j] != NONE
-            logs[spoken] += np.log(chance[j][:, patterns[spoken, j]]).T
-        logs -= logs.max(1, keepdims=True)
-        p = np.exp(logs)
-        new = (p / p.sum(1, keepdims=True))[:, 1]
-        for j in range(k):
-            for c, mass in ((0, 1 - new), (1, new)):
-                told = np.array([(counts * mass)[patterns[:, j] == v].sum() for v in (0, 1)]) + weak[j, c]
-                chance[j, c] = told / told.sum() if told.sum() else [0.5, 0.5]
-        good = float(np.clip((counts * new).sum() / max(counts.sum(), 1.0), 1e-4, 1 - 1e-4))
-        if np.abs(new - posterior).max(initial=0) < 1e-9:
-            break
+        logs = speaks @ np.log(chance) + (1 - speaks) @ np.log1p(-chance) + np.log([1 - good, good])
+        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -60, 60)))
+        for c, mass in ((0, counts * (1 - new)), (1, counts * new)):
+            chance[:, c] = np.clip((mass @ speaks + weak * start[:, c]) / (mass.sum() + weak), 1e-4, 1 - 1e-4)
+        good = float(np.clip((counts * new).sum() / max(total, 1.0), 0.05, 0.99))
+        done = np.abs(new - posterior).max(initial=0) < 1e-9
         posterior = new
+        if done:
+            break
     return posterior, chance, good
 
 
@@ -122,7 +135,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, ro
     mean = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     w, b, vw, vb = np.zeros(WIDTH), float(np.log(mean / (1 - mean))), np.zeros(WIDTH), 0.0
     # The features of a row have squares that sum to about one plus a quarter for each measure.
-    rate = 4.0 / (1.0 + 0.25 * len(LABELLERS) + 1.0)
+    rate = 4.0 / (1.0 + 0.25 * len(MEASURES) + 1.0)
     for _ in range(rounds):
         gap = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[index], len(rows)) + b, -60, 60))) - target
         vw = 0.9 * vw - rate * (np.bincount(index, value * gap[owner], WIDTH) / len(rows) + ridge * w)
