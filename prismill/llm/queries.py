@@ -147,3 +147,11 @@ def chunk_dedup(table):
         "doc_id", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
         F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce("holders", none).alias("holders"),
     )
+
+
+@query("op10_vector_graph")
+def vector_graph(table):
+    """Near-duplicate vectors of the whole table."""
+    from prismill.llm.vector_graph import near_vectors
+
+    return near_vectors(table("embeddings").select("vec_id", "embedding"))
