@@ -71,10 +71,12 @@ def stacked_areas(df: DataFrame, x: str, series: Sequence[str]) -> DataFrame:
     return df.select(x, F.explode(F.array(*bands)).alias("band")).select(x, "band.*")
 
 
-def scatter_points(df: DataFrame, x: str, y: str, key: str, points: int = 1000) -> DataFrame:
-    """A reproducible sample of points with the least-squares line over all rows as `fitted`."""
+def scatter_points(df: DataFrame, x: str, y: str, key: str, points: int | None = None) -> DataFrame:
+    """All points, or a reproducible sample of `points`, with the least-squares line over all rows as `fitted`."""
     fit = least_squares(df, x, y).select(F.struct("slope", "intercept").alias("f")).scalar()
-    shown = df.select(key, x, y).orderBy(shuffle_key(F.col(key)), key).limit(points)
+    shown = df.select(key, x, y)
+    if points is not None:
+        shown = shown.orderBy(shuffle_key(F.col(key)), key).limit(points)
     return shown.select(key, x, y, (fit["slope"] * F.col(x) + fit["intercept"]).alias("fitted"))
 
 

@@ -102,9 +102,12 @@ def encode(df: DataFrame, encoders: Sequence[Encoder]) -> DataFrame:
 
 
 def polynomial(df: DataFrame, columns: Sequence[str], degree: int = 2, max_inputs: int = 10) -> DataFrame:
-    """Products of two and more of the columns up to the degree, named poly_a, poly_a_b, ... (with repetition)."""
+    """Products of two and more of the columns up to the degree, named poly_a, poly_a_b, ... (with repetition).
+
+    Outside of 2 to `max_inputs` columns it raises: the number of products grows with the power of the degree.
+    """
     if not 2 <= len(columns) <= max_inputs:
-        return df
+        raise ValueError(f"{len(columns)} columns; polynomial features need 2 to {max_inputs}")
     products = []
     for d in range(2, degree + 1):
         for combo in itertools.combinations_with_replacement(columns, d):

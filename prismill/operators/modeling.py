@@ -228,13 +228,13 @@ def train_models(train: DataFrame, test: DataFrame, estimators: dict[str, Callab
             fitted[name] = model
             rows.append((name, float(cv), float(_evaluator(task).evaluate(model.transform(test))), None))
         except Exception as error:  # noqa: BLE001 - one model that cannot learn from this data must not stop the others
-            rows.append((name, None, None, f"{type(error).__name__}: {error}"[:500]))
+            rows.append((name, None, None, f"{type(error).__name__}: {error}"))
     return fitted, rows
 
 
 def sized(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
-    """Fewer partitions for few rows: iterative fits start a job per step, and tiny tasks are all overhead."""
-    return df.coalesce(rows // rows_per_partition + 1)
+    """As many partitions as the rows need: iterative fits start a job per step. The shuffle keeps what lies before it parallel."""
+    return df.repartition(rows // rows_per_partition + 1)
 
 
 def run_training(

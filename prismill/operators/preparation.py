@@ -92,7 +92,7 @@ def fold_strategy(df: DataFrame, target: str, date: str | None = None, group: st
         return "group"
     if task_type(df, target) == "classification":
         return "stratified"
-    return "leave_few_out" if df.limit(100).count() < 100 else "random"
+    return "random"
 
 
 def folds(df: DataFrame, strategy: str, key: str, k: int = 5, target: str | None = None, date: str | None = None, group: str | None = None, seed: int = 42) -> DataFrame:
@@ -103,7 +103,6 @@ def folds(df: DataFrame, strategy: str, key: str, k: int = 5, target: str | None
         return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
     hashed = df.withColumn("__hash", shuffle_key(F.col(key), seed=seed))
     by = [target] if strategy == "stratified" else []
-    k = 10 if strategy == "leave_few_out" else k
     numbered = cumulate(hashed, ["__hash", key], by, index=ORDER)
     return numbered.select(*df.columns, ((F.col(ORDER) - 1) % k).cast("int").alias("fold"))
 
@@ -200,19 +199,19 @@ def fit_powers(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """(class, n, weight) with weight n / (classes * class size)."""
-    counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """(class, n, weight) with weight n / (classes * class size). A missing target is no class."""
+    counts = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     facts = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("f")).scalar()
     return counts.select("class", "n", F.try_divide(facts["rows"].cast("double"), facts["classes"] * F.col("n")).alias("weight"))
 
 
 def add_class_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     weights = class_weights(df, target).select(F.col("class").alias("__class"), F.col("weight").alias(name))
-    return df.join(weights, df[target].eqNullSafe(weights["__class"])).drop("__class")
+    return df.join(weights, df[target] == weights["__class"], "left").drop("__class")
 
 
 def balance_strategy(df: DataFrame, target: str) -> DataFrame:
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     pct = percent(F.min("n"), F.sum("n"))
     choice = F.when(pct >= 40, "none").when(pct >= 30, "class_weights").when(pct >= 15, "smote").otherwise("smote_tomek")
     return counts.agg(pct.alias("minority_pct"), choice.alias("strategy"))

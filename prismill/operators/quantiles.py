@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from prismill.operators.ordered import cumulate
 
-# One reducer holds a value map per column in the built-in aggregate; beyond this many cells the sorted path takes over.
-CELLS_IN_ONE_TASK = 4_000_000
-
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column_name, value) with values as double, nulls left out."""
@@ -18,19 +15,21 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     return df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.column_name", "cell.value").where("value IS NOT NULL")
 
 
-def quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (), cells_in_one_task: int = CELLS_IN_ONE_TASK
-) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per (by, column_name) with the array `quantiles`, interpolated linearly between order statistics.
 
-    Small frames (checked by a count) use `percentile`; larger ones count each value once, accumulate the
-    counts along the sorted values over many tasks and pick the two order statistics around each rank.
+    Each value is counted once, the counts accumulate along the sorted values over many tasks, and the two order statistics
+    around each rank are picked. A group or column without values keeps its row, with null quantiles.
     """
-    if df.count() * len(columns) <= cells_in_one_task:
-        wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q_{i}") for i, c in enumerate(columns)])
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"q_{i}").alias("quantiles")) for i, c in enumerate(columns)])
-        return wide.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.column_name", "cell.quantiles")
-    return sorted_quantiles(df, columns, probabilities, by)
+    found = sorted_quantiles(df, columns, probabilities, by)
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    everything = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).select(*by, names)
+    right = found.select(*[F.col(k).alias(f"__q_{k}") for k in (*by, "column_name")], "quantiles")
+    match = F.lit(True)
+    for k in (*by, "column_name"):
+        match = match & everything[k].eqNullSafe(right[f"__q_{k}"])
+    nothing = F.array(*[F.lit(None).cast("double") for _ in probabilities])
+    return everything.join(right, match, "left").select(*by, "column_name", F.coalesce("quantiles", nothing).alias("quantiles"))
 
 
 def sorted_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -152,9 +152,10 @@ def running_total(df: DataFrame, order_by: Sequence[str], measure: str, partitio
 
 
 def yearly_growth(df: DataFrame, group: str, date: str, measure: str) -> DataFrame:
-    """Total per group and year with its change against the year before."""
+    """Total per group and year with its change against the year before; null where that year has no rows."""
     yearly = df.groupBy(group, F.year(date).alias("year")).agg(F.sum(measure).alias("total"))
-    before = F.lag("total").over(Window.partitionBy(group).orderBy("year"))
+    order = Window.partitionBy(group).orderBy("year")
+    before = F.when(F.lag("year").over(order) == F.col("year") - 1, F.lag("total").over(order))
     return yearly.select(group, "year", "total", (F.try_divide(F.col("total") - before, before) * 100.0).alias("growth_pct"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql.types import StructType
 
 DEFAULT_LIMIT = 100
 _COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_LIMIT_AT_END = re.compile(r"\blimit\s+(\d+|all)\s*(offset\s+\d+\s*)?$", re.I)
 
 
 class ReadOnlyError(ValueError):
@@ -28,28 +27,38 @@ class SqlResult:
     error: str | None = None
 
 
-def _checked(text: str) -> str:
-    bare = _COMMENT.sub(" ", text).strip().rstrip(";").strip()
-    if not re.match(r"(select|with)\b", bare, re.I):
+def _parsed(spark: SparkSession, text: str):
+    """The unresolved plan. Nothing is analysed and nothing runs, unlike spark.sql, which executes commands at once."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if not re.match(r"(select|with)\b", _COMMENT.sub(" ", text).strip(), re.I):
         raise ReadOnlyError("only SELECT and WITH queries are allowed")
-    return bare
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    writes = [spark._jvm.org.apache.spark.util.Utils.classForName(logical + name, True, False) for name in ("Command", "ParsedStatement")]
+    open_ = [plan]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in writes):
+            raise ReadOnlyError("only SELECT and WITH queries are allowed")
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return plan
 
 
-def _is_command(df: DataFrame) -> bool:
-    # WITH ... INSERT starts like a query; the analysed plan tells.
-    plan = df._jdf.queryExecution().analyzed()
-    return "Command" in plan.getClass().getSimpleName() or "Insert" in plan.nodeName()
+def _has_limit(plan, text: str) -> bool:
+    """A limit of the outermost query. LIMIT ALL leaves no trace in the plan."""
+    while plan.nodeName() in ("UnresolvedWith", "Offset"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() in ("GlobalLimit", "LocalLimit") or bool(re.search(r"\blimit\s+all\s*;?\s*$", text, re.I))
 
 
 def query(spark: SparkSession, text: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
-    """The lazy result of a read-only query; `limit` applies when the text has none of its own."""
-    bare = _checked(text)
-    if re.match(r"with\b", bare, re.I) and re.search(r"\binsert\s+(into|overwrite)\b", bare, re.I):
-        raise ReadOnlyError("only SELECT and WITH queries are allowed")
-    df = spark.sql(bare)
-    if _is_command(df):
-        raise ReadOnlyError("only SELECT and WITH queries are allowed")
-    return df if limit is None or _LIMIT_AT_END.search(bare) else df.limit(limit)
+    """The lazy result of a read-only query; `limit` applies when the text has none of its own.
+
+    The text is only parsed until its plan is known to be a query; Spark then gets it as it is, comments and literals included.
+    """
+    plan = _parsed(spark, text)
+    df = spark.sql(text)
+    return df if limit is None or _has_limit(plan, text) else df.limit(limit)
 
 
 def validate(spark: SparkSession, text: str) -> StructType:

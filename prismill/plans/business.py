@@ -200,14 +200,17 @@ def lines_of_busy_parts(t: Tables) -> DataFrame:
     return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# The years that the orders cover.
+PIVOT_YEARS = list(range(1995, 2002))
+
+
 @named(
     "year_pivot",
     f"""{WITH_SALES} SELECT product,
-ROUND(SUM(CASE WHEN year(date) = 1999 THEN amount ELSE 0 END), 4) AS total_1999,
-ROUND(SUM(CASE WHEN year(date) = 2000 THEN amount ELSE 0 END), 4) AS total_2000 FROM sales GROUP BY product""",
+{", ".join(f"ROUND(SUM(CASE WHEN year(date) = {y} THEN amount ELSE 0 END), 4) AS total_{y}" for y in PIVOT_YEARS)} FROM sales GROUP BY product""",
 )
 def year_pivot(t: Tables) -> DataFrame:
-    return shapes.year_pivot(sales(t), ["product"], "date", "amount", [1999, 2000]).select("product", money("total_1999"), money("total_2000"))
+    return shapes.year_pivot(sales(t), ["product"], "date", "amount", PIVOT_YEARS).select("product", *[money(f"total_{y}") for y in PIVOT_YEARS])
 
 
 @named("distinct_groups", f"{WITH_SALES} SELECT region, brand FROM sales GROUP BY region, brand")
@@ -347,12 +350,18 @@ def identical_rows(t: Tables) -> DataFrame:
 
 
 @named(
-    "customers_without_orders",
+    "customers_without_large_orders",
     "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
 )
-def customers_without_orders(t: Tables) -> DataFrame:
-    big = t.orders.where("o_totalprice > 400000")
-    return t.customer.join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+def customers_without_large_orders(t: Tables) -> DataFrame:
+    """Customers none of whose orders exceeds 400 000; the limit is the question."""
+    large = t.orders.where("o_totalprice > 400000")
+    return t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@named("documents_without_labels", "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def documents_without_labels(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", "lang")
 
 
 @named(

@@ -222,22 +222,20 @@ def decision_success(t: Tables) -> DataFrame:
 
 @named(
     "cleaning_quality",
-    """WITH d AS (SELECT user_id // 5 AS run, CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 10 WHEN event_type = 'view' AND event_id % 2 = 0 THEN 10 ELSE 0 END
-+ CASE WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN 5 ELSE 0 END + CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 15 ELSE 0 END AS points FROM events WHERE event_id % 2 = 1 OR event_type IN ('purchase', 'error', 'signup')
-OR event_id % 60 = 0),
+    """WITH d AS (SELECT user_id // 5 AS run, CASE WHEN event_type = 'click' AND event_id % 60 = 0 THEN 10 WHEN event_type = 'view' AND event_id % 60 = 0 THEN 10 ELSE 0 END
++ CASE WHEN event_type = 'purchase' AND event_id % 40 = 0 THEN 5 ELSE 0 END + CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 15 ELSE 0 END AS points FROM events),
 s AS (SELECT run, COUNT(*) FILTER (WHERE points > 0) AS n_issues, CAST(100 - SUM(points) AS BIGINT) AS score FROM d GROUP BY run)
 SELECT run, n_issues, greatest(score, 0) AS score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'acceptable' ELSE 'needs_improvement' END AS rating FROM s""",
 )
 def cleaning_quality(t: Tables) -> DataFrame:
     """Runs of choices: the mean for skewed and the mode for normal columns are wrong, dropping and removing are seldom right."""
-    kind, even = F.col("event_type"), F.col("event_id") % 2 == 0
-    rows = t.events.where((F.col("event_id") % 2 == 1) | kind.isin("purchase", "error", "signup") | (F.col("event_id") % 60 == 0))
-    choices = rows.select(
+    kind, odd = F.col("event_type"), F.col("event_id") % 60 == 0
+    choices = t.events.select(
         F.floor(F.col("user_id") / 5).alias("run"),
         F.when(kind == "error", "outlier").otherwise("missing").alias("kind"),
         F.when((kind == "error") & (F.col("event_id") % 50 == 0), "price").otherwise("size").alias("column_name"),
-        F.when(kind == "click", F.when(even, "mean").otherwise("median"))
-        .when(kind == "view", F.when(even, "mode").otherwise("mean"))
+        F.when(kind == "click", F.when(odd, "mean").otherwise("median"))
+        .when(kind == "view", F.when(odd, "mode").otherwise("mean"))
         .when((kind == "purchase") & (F.col("event_id") % 40 == 0), "drop")
         .when(kind == "error", "remove")
         .otherwise("median")
@@ -249,16 +247,17 @@ def cleaning_quality(t: Tables) -> DataFrame:
 
 @named(
     "feature_quality",
-    """WITH e AS (SELECT p_brand AS run, SUM(CASE WHEN p_size > 20 AND p_partkey % 20 = 0 THEN 15 WHEN p_size < 5 AND p_partkey % 20 <> 0 THEN 1 * 5 ELSE 0 END) AS points FROM part WHERE p_size > 46 GROUP BY 1),
-i AS (SELECT p_brand AS run, CASE WHEN COUNT(*) > 10 THEN 10 ELSE 0 END AS extra FROM part WHERE p_type = 'PROMO' GROUP BY 1),
+    """WITH e AS (SELECT p_partkey // 25 AS run, SUM(CASE WHEN p_size > 20 AND p_partkey % 20 = 0 THEN 15 WHEN p_size < 5 AND p_partkey % 20 <> 0 THEN 1 * 5 ELSE 0 END) AS points FROM part GROUP BY 1),
+i AS (SELECT p_partkey // 25 AS run, CASE WHEN COUNT(*) > 10 THEN 10 ELSE 0 END AS extra FROM part WHERE p_type = 'PROMO' GROUP BY 1),
 s AS (SELECT COALESCE(e.run, i.run) AS run, CAST(100 - COALESCE(points, 0) - COALESCE(extra, 0) AS BIGINT) AS score FROM e FULL JOIN i ON e.run = i.run)
 SELECT run, greatest(score, 0) AS score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'acceptable' ELSE 'needs_improvement' END AS rating FROM s""",
 )
 def feature_quality(t: Tables) -> DataFrame:
-    encodings = t.part.where("p_size > 46").select(
-        F.col("p_brand").alias("run"), F.col("p_name").alias("column_name"), F.when(F.col("p_partkey") % 20 == 0, "one_hot").otherwise("target").alias("strategy"), F.col("p_size").alias("cardinality")
+    run = F.expr("p_partkey div 25").alias("run")
+    encodings = t.part.select(
+        run, F.col("p_name").alias("column_name"), F.when(F.col("p_partkey") % 20 == 0, "one_hot").otherwise("target").alias("strategy"), F.col("p_size").alias("cardinality")
     )
-    interactions = t.part.where("p_type = 'PROMO'").select(F.col("p_brand").alias("run"), F.lit(1).alias("n"))
+    interactions = t.part.where("p_type = 'PROMO'").select(run, F.lit(1).alias("n"))
     return logs.feature_quality(encodings, interactions)
 
 

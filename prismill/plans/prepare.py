@@ -436,13 +436,13 @@ def model_quality(t: Tables) -> DataFrame:
 
 @named(
     "stage_score",
-    """WITH s AS (SELECT user_id AS run, CASE event_type WHEN 'click' THEN 'cleaning' WHEN 'view' THEN 'features' ELSE 'models' END AS stage, COUNT(*) % 100 AS score FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2),
+    """WITH s AS (SELECT user_id AS run, CASE event_type WHEN 'click' THEN 'cleaning' WHEN 'view' THEN 'features' ELSE 'models' END AS stage, COUNT(*) % 100 AS score FROM events GROUP BY 1, 2),
 r AS (SELECT run, CAST(floor(ROUND(SUM(score * CASE stage WHEN 'cleaning' THEN 0.25 WHEN 'features' THEN 0.35 ELSE 0.4 END), 6)) AS INTEGER) AS score FROM s GROUP BY run)
 SELECT run, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'acceptable' ELSE 'needs_improvement' END AS rating FROM r""",
 )
 def stage_score(t: Tables) -> DataFrame:
     stage = F.when(F.col("event_type") == "click", "cleaning").when(F.col("event_type") == "view", "features").otherwise("models")
-    scores = t.events.where(F.col("event_type").isin("click", "view", "purchase")).groupBy(F.col("user_id").alias("run"), stage.alias("stage"))
+    scores = t.events.groupBy(F.col("user_id").alias("run"), stage.alias("stage"))
     return metrics.stage_score(scores.agg((F.count(F.lit(1)) % 100).alias("score")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,17 @@ def pin_runtime(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class NoSharedFolderError(RuntimeError):
+    """A cluster session without a folder that driver and executors share."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only in a local session that has none, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise NoSharedFolderError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismill-"))
     return spark.sparkContext.getCheckpointDir()
 

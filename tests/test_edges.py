@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prismill.operators import exploration, logs, metrics, profiling, sqlrun, statistics
+from prismill.operators import exploration, features, logs, metrics, preparation, profiling, shapes, sqlrun, statistics
 from prismill.sources import readers, writers
 
 
@@ -116,3 +116,38 @@ def test_token_cost_and_percentiles(spark):
 def test_verdict_is_anchored(spark):
     rows = spark.createDataFrame([("VALID: fine",), ("invalid: no",), ("So: Valid: yes",)], "x string")
     assert [r[0] for r in rows.select(logs.is_valid_verdict(F.col("x"))).collect()] == [True, False, True]
+
+
+def test_sql_literals_stay_whole_and_writes_are_refused_unrun(spark):
+    assert sqlrun.query(spark, "SELECT 'a--b' AS x, 'a/*b*/c' AS y -- note").first() == ("a--b", "a/*b*/c")
+    spark.range(3).write.mode("overwrite").saveAsTable("guarded")
+    try:
+        for text in (
+            "WITH x AS (SELECT 9L AS id) INSERT INTO guarded SELECT id FROM x", "WITH x AS (SELECT 1) DELETE FROM guarded", "/* SELECT */ DROP TABLE guarded",
+            "WITH x AS (SELECT 1 AS id) MERGE INTO guarded g USING x ON g.id = x.id WHEN MATCHED THEN DELETE", "WITH x AS (SELECT 1) UPDATE guarded SET id = 1",
+        ):
+            assert not sqlrun.execute(spark, text).success, text
+        assert sorted(r[0] for r in spark.table("guarded").collect()) == [0, 1, 2]
+    finally:
+        spark.sql("DROP TABLE guarded")
+    assert sqlrun.query(spark, "SELECT * FROM (SELECT id FROM range(9) LIMIT 7)", limit=2).count() == 2
+    assert sqlrun.query(spark, "SELECT id FROM range(9) LIMIT ALL", limit=2).count() == 9
+    assert sqlrun.query(spark, "WITH x AS (SELECT id FROM range(9)) SELECT id FROM x ORDER BY id LIMIT 5 OFFSET 1", limit=2).count() == 5
+
+
+def test_growth_needs_the_year_before(spark):
+    rows = spark.createDataFrame([("a", "2020-05-01", 10.0), ("a", "2022-05-01", 20.0), ("a", "2023-05-01", 30.0)], "g string, d string, v double").withColumn("d", F.to_date("d"))
+    got = {r["year"]: r["growth_pct"] for r in shapes.yearly_growth(rows, "g", "d", "v").collect()}
+    assert got == {2020: None, 2022: None, 2023: 50.0}
+
+
+def test_a_missing_target_is_no_class(spark):
+    rows = spark.createDataFrame([(1, "a")] * 6 + [(1, "b")] * 4 + [(1, None)] * 10, "id long, y string")
+    assert preparation.balance_strategy(rows, "y").first()["minority_pct"] == 40.0
+    assert {r["class"]: r["n"] for r in preparation.class_weights(rows, "y").collect()} == {"a": 6, "b": 4}
+    assert preparation.add_class_weights(rows, "y").count() == 20
+
+
+def test_polynomial_refuses_too_many_columns(spark):
+    with pytest.raises(ValueError):
+        features.polynomial(spark.createDataFrame([(1.0,)], "a double"), ["a"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismill.operators.ordered import carry, cumulate, ntile, previous_gap
-from prismill.operators.quantiles import fit_quantiles, sorted_quantiles
+from prismill.operators.quantiles import fit_quantiles, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -83,9 +83,16 @@ def test_gap_across_slices(spark):
     assert rows[values[0]] is None and all(rows[b] == b - a for a, b in zip(values, values[1:]))
 
 
-def test_both_quantile_paths_agree(frame):
-    small = fit_quantiles(frame, ["t", "v"], [0.0, 0.1, 0.5, 0.9, 1.0])
-    large = {r["column_name"]: r["quantiles"] for r in sorted_quantiles(frame, ["t", "v"], [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
-    assert small == {c: pytest.approx(q) for c, q in large.items()}
-    forced = fit_quantiles(frame, ["t"], [0.5], cells_in_one_task=1)
-    assert forced["t"] == [small["t"][2]]
+def test_quantiles_agree_with_percentile(frame):
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = fit_quantiles(frame, ["t", "v"], shares)
+    want = frame.agg(*[F.percentile(F.col(c).cast("double"), shares).alias(c) for c in ("t", "v")]).first()
+    assert found == {c: pytest.approx(list(want[c])) for c in ("t", "v")}
+
+
+def test_groups_and_columns_without_values_keep_their_row(spark):
+    rows = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, None), ("b", None, None), (None, 5.0, None)], "g string, x double, y double")
+    got = {(r["g"], r["column_name"]): r["quantiles"] for r in quantiles(rows, ["x", "y"], [0.5], ["g"]).collect()}
+    assert got == {("a", "x"): [2.0], ("b", "x"): [None], (None, "x"): [5.0], ("a", "y"): [None], ("b", "y"): [None], (None, "y"): [None]}
+    whole = {r["column_name"]: r["quantiles"] for r in quantiles(rows.limit(0), ["x"], [0.5]).collect()}
+    assert whole == {"x": [None]}
