@@ -100,10 +100,10 @@ TOXIC_AT = 0.3
 @query("op2_toxicity")
 def toxicity(table):
     """Toxicity of all documents, learned from the labelled ones that are not held out."""
-    from prismill.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
+    from prismill.llm.toxicity import fit_on_tables, held_out, score_toxicity
 
     docs = table("documents").select("doc_id", "text")
-    scored = score_toxicity(docs, fit_lexicon(training_rows(docs, table("labels"))))
+    scored = score_toxicity(docs, fit_on_tables(docs, table("labels")))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
 
 

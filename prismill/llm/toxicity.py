@@ -19,8 +19,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from prismill.llm.text import require
+from prismill.llm.text import free_name, require
 from prismill.session import durable
 
 # Letters of other scripts by the Latin letter they resemble, and digits and signs by the letter they replace.
@@ -116,16 +117,18 @@ def beginnings(text: str | None) -> set[str]:
     return found
 
 
-def fit_lexicon(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_entries: int = MOST_ENTRIES, support: int = 3, lift: float = 8.0) -> Lexicon:
-    """A model from (id, text, toxic 0/1). Null labels are left out; without both labels the lexicon stays empty.
+def fit_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most_entries: int = MOST_ENTRIES, support: int = 3, lift: float = 8.0) -> Lexicon:
+    """A model from docs (id, text) and labels (id, toxic 0/1). Without both labels the lexicon stays empty.
 
-    The fit reads at most `fit_rows` documents, those with the smallest hashes of their ids. An entry is a beginning of words that
-    `support` toxic documents or more contain, and whose log odds stay above `lift` after DOUBT standard errors; that bound is its
-    weight. Beginnings that tell nothing beyond a shorter or longer one are left out; longer ones that speak against an entry
-    become exceptions.
+    The fit reads at most `fit_rows` labelled documents, those with the smallest hashes of their ids; repeated ids count once. An
+    entry is a beginning of words that `support` toxic documents or more contain, and whose log odds stay above `lift` after
+    DOUBT standard errors; that bound is its weight. Beginnings that tell nothing beyond a shorter or longer one are left
+    out; longer ones that speak against an entry become exceptions.
     """
-    chosen = labelled.where("toxic IN (0, 1)").select("id", "toxic").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    known = labelled.select("id", "text").join(chosen, "id").dropDuplicates(["id"])
+    named = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = durable(named.join(docs.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(fit_rows))
+    # At most fit_rows ids, so the texts need not be shuffled for them.
+    known = durable(docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def count(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -139,7 +142,7 @@ def fit_lexicon(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_entries: int
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
         return Lexicon()
-    counted = known.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "entry string, clean long, toxic long")
+    counted = known.select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long")
     summed = durable(counted.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= support))
 
     def bound(toxic, clean, log, sqrt):
@@ -172,7 +175,7 @@ def fit_lexicon(labelled: DataFrame, fit_rows: int = FIT_ROWS, most_entries: int
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(machine, t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("toxic")], ["x", "toxic"])
 
     # At most fit_rows pairs of numbers.
-    pairs = known.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, "x double, toxic int").toPandas()
+    pairs = known.select("text", "toxic").mapInArrow(measure, "x double, toxic int").toPandas()
     slope, bias = calibrated(pairs["x"].to_numpy(), pairs["toxic"].to_numpy())
     return Lexicon(weights, exceptions, slope, bias)
 
@@ -191,23 +194,24 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float
     return max(float(coef[0]), 0.0), float(coef[1])
 
 
-def score_toxicity(docs: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, n_hits as evidence) for each row.
+def score_toxicity(docs: DataFrame, model: Lexicon, text_col: str = "text", score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
+    """`docs` with a score from 0 to 1 and the evidence behind it, for each row.
 
-    Null and empty texts have no evidence and get the score of a text without hits. Rows are scored one by one: repeated rows,
-    null ids and further columns don't matter. No rows: no rows.
+    Null and empty texts have no evidence and get the score of a text without hits. Rows are scored one by one: repeated rows and
+    null ids don't matter. The two columns take a free name (leading underscores) if `docs` has columns of that name. No rows: no rows.
     """
-    require(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    require(docs, text_col)
+    names = [free_name(docs.columns, score_col), free_name(docs.columns, evidence_col)]
 
     def run(batches: Iterator[pa.RecordBatch]):
         machine = model.automaton()
         for batch in batches:
-            found = [model.evidence(machine, t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.float64())], ["id", "score", "evidence"])
+            found = [model.evidence(machine, t) for t in batch.column(text_col).to_pylist()]
+            more = [pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, evidence double")
-    return scored.withColumnRenamed("id", id_col)
+    schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col: str) -> Column:
@@ -215,7 +219,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, text, toxic) of the labelled documents that may be learned from; one label per id, toxic if labels disagree."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id").where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), "toxic")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(id, toxic) of the labels that may be learned from."""
+    return labels.where(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "toxic")
+
+
+def fit_on_tables(docs: DataFrame, labels: DataFrame, **options) -> Lexicon:
+    """fit_lexicon on documents (doc_id, text) and labels (doc_id, toxic), without the held-out rows."""
+    return fit_lexicon(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")), training_labels(labels), **options)
