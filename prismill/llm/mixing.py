@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prismill.llm.text import require, word_count
+from prismill.llm.text import free_name, require, word_count
 from prismill.session import durable
 
 # A bucket of one (source, size) class holds about so many documents; only within a bucket documents are put in order.
@@ -103,7 +103,7 @@ def mix(
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     most: int = 3,
 ) -> DataFrame:
-    """(id_col, size, source, source_size, target, rate, copies) for each row of `docs`; `copies` is 0 to `most`.
+    """(id_col, row_hash, size, source, source_size, target, rate, copies) for each row of `docs`; `copies` is 0 to `most`.
 
     * Size: words of the text, 0 for null or empty text. Documents without words get their rate like others.
     * A null source is a source of its own, the last. Sources take weights by code point, repeating.
@@ -135,7 +135,22 @@ def mix(
         F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("cls")) & (F.col("bucket") == F.col("bkt")),
     )
     copies = F.floor("rate").cast("bigint") + (F.col("place") <= F.col("extra")).cast("bigint")
-    return placed.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", copies.alias("copies"))
+    return placed.select(F.col("id").alias(id_col), F.col("h").alias("row_hash"), "size", "source", "source_size", "target", "rate", copies.alias("copies"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of `docs` as often as `mix` says, with the same columns.
+
+    Rows that repeat id and text are numbered on both sides, so each takes its own number of copies.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options)
+    h, k, i = (free_name(docs.columns, n) for n in ("row_hash", "row_place", "row_id"))
+    number = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(1)))
+    left = docs.withColumn(i, F.col(id_col)).withColumn(h, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).withColumn(k, number)
+    right = taken.where("copies > 0").select(F.col(id_col).alias("t_id"), F.col("row_hash").alias("t_hash"), "copies")
+    right = right.withColumn("t_place", F.row_number().over(Window.partitionBy("t_id", "t_hash").orderBy(F.desc("copies"))))
+    joined = left.join(right, F.col(i).eqNullSafe(F.col("t_id")) & (F.col(h) == F.col("t_hash")) & (F.col(k) == F.col("t_place")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias(k)).drop(k)
 
 
 def quotas(counts: DataFrame) -> DataFrame:
