@@ -146,9 +146,10 @@ def dealt(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFra
     return docs.select("text").mapInArrow(run, "bucket int, hot boolean, a binary, b binary, size binary, count binary, tokens binary")
 
 
-def count_bucket(table: pa.Table) -> pa.Table:
-    """(a, b, n, tokens, dfs) for the classes of one bucket: the shingles that two classes or more share."""
-    outs = []
+def count_bucket(table: pa.Table, groups: int) -> pa.Table:
+    """Rows of packed arrays (grp, a, b, n, count, tokens, dfs): of the classes of one bucket the shingles that two classes or
+    more share, dealt to `groups` groups by class. n is -1 except where the entry reports the set's size."""
+    rows: list[tuple] = []
     for hot in (False, True):
         part = table.filter(pa.compute.equal(table["hot"], hot))
         if not part.num_rows:
@@ -176,14 +177,29 @@ def count_bucket(table: pa.Table) -> pa.Table:
         wanted = np.zeros(len(a), bool)
         wanted[entry] = True
         wanted = (wanted | home) & ~again
-        lengths = np.bincount(entry, minlength=len(a))[wanted]
-        offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-        n = pa.array((size & np.uint32(2**31 - 1)).astype(np.int32)[wanted], mask=~home[wanted])
-        outs.append(pa.table({
-            "a": a[wanted], "b": b[wanted], "n": n,
-            "tokens": pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64))), "dfs": pa.ListArray.from_arrays(offsets, pa.array(dfs)),
-        }))
-    return pa.concat_tables(outs)
+        lengths = np.bincount(entry, minlength=len(a))
+        n = np.where(home, (size & np.uint32(2**31 - 1)).astype(np.int64), -1).astype(np.int32)
+        first = np.cumsum(lengths) - lengths
+        rank = np.argsort(a[wanted] % groups, kind="stable")
+        picked = np.flatnonzero(wanted)[rank]
+        group = a[picked] % groups
+        at = np.repeat(first[picked] - (np.cumsum(lengths[picked]) - lengths[picked]), lengths[picked]) + np.arange(lengths[picked].sum())
+        tokens, dfs, upto = tokens[at], dfs[at], np.append(0, np.cumsum(lengths[picked]))
+        for lo, hi in runs_of(group):
+            rows.append((
+                int(group[lo]), a[picked[lo:hi]].tobytes(), b[picked[lo:hi]].tobytes(), n[picked[lo:hi]].tobytes(), lengths[picked[lo:hi]].astype(np.int32).tobytes(),
+                tokens[upto[lo] : upto[hi]].tobytes(), dfs[upto[lo] : upto[hi]].tobytes(),
+            ))
+    names = ("grp", "a", "b", "n", "count", "tokens", "dfs")
+    return pa.table([pa.array([r[k] for r in rows], pa.int64() if k == 0 else pa.binary()) for k in range(len(names))], names=list(names))
+
+
+def runs_of(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal keys."""
+    if not len(sorted_keys):
+        return []
+    cuts = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(sorted_keys)).tolist()))
 
 
 def choose_prefix(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
@@ -206,22 +222,31 @@ def choose_prefix(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int) ->
     return best[1], tokens[: max(0, best[2])]
 
 
-def prefixes(counted: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, l, prefix, tokens): arrays are empty for classes that no other can resemble."""
-
-    def run(batches):
-        for batch in batches:
-            ns, out = batch.column("n").to_pylist(), ([], [], [])
-            for n, tokens, dfs in zip(ns, batch.column("tokens"), batch.column("dfs")):
-                t, d = tokens.values.to_numpy(zero_copy_only=False), dfs.values.to_numpy(zero_copy_only=False)
-                order = np.lexsort((t, d))
-                l, prefix = choose_prefix(n, t[order], d[order], percent)  # noqa: E741
-                out[0].append(l)
-                out[1].append(prefix)
-                out[2].append(np.sort(t) if len(prefix) else t[:0])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64()))], ["a", "b", "n", "l", "prefix", "tokens"])
-
-    return counted.mapInArrow(run, "a long, b long, n int, l int, prefix array<long>, tokens array<long>")
+def group_prefixes(table: pa.Table, percent: int) -> pa.Table:
+    """(a, b, n, l, prefix, tokens) for the classes of one group; arrays are empty for classes that no other can resemble."""
+    get = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    a, b, n, count, tokens, dfs = get("a", np.int64), get("b", np.int64), get("n", np.int32), get("count", np.int32), get("tokens", np.int64), get("dfs", np.int32)
+    entry = np.lexsort((b, a))
+    owner = np.repeat(np.argsort(entry, kind="stable"), count)  # place of each token's entry in that order
+    order = np.lexsort((tokens, dfs, owner))
+    tokens, dfs = tokens[order], dfs[order]
+    upto = np.append(0, np.cumsum(count[entry]))
+    a, b, n = a[entry], b[entry], n[entry]
+    same = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, np.int64)
+    sizes, ls, heads, sets = [], [], [], []
+    for lo, hi in zip(same, np.append(same[1:], len(a))):
+        t, d, size = tokens[upto[lo] : upto[hi]], dfs[upto[lo] : upto[hi]], int(n[lo:hi].max())
+        rank = np.lexsort((t, d))
+        l, prefix = choose_prefix(size, t[rank], d[rank], percent)  # noqa: E741
+        sizes.append(size)
+        ls.append(l)
+        heads.append(prefix)
+        sets.append(np.sort(t) if len(prefix) else t[:0])
+
+    def listed(parts):
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
+
+    return pa.table({"a": a[same], "b": b[same], "n": pa.array(sizes, pa.int32()), "l": pa.array(ls, pa.int32()), "prefix": listed(heads), "tokens": listed(sets)})
 
 
 def alike(x: dict, y: dict, percent: int) -> bool:
@@ -344,17 +369,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = durable(classes_of(texts))
     named = members.groupBy("a", "b").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("class_size"))
 
-    schema = "a long, b long, n int, tokens array<long>, dfs array<int>"
-    counted = dealt(texts, width, buckets, hot).groupBy("bucket").applyInArrow(count_bucket, schema)
-    whole = counted.groupBy("a", "b").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    classes = durable(named.join(prefixes(whole, percent), ["a", "b"], "left"))
+    packed = "grp long, a binary, b binary, n binary, count binary, tokens binary, dfs binary"
+    counted = dealt(texts, width, buckets, hot).groupBy("bucket").applyInArrow(lambda t: count_bucket(t, buckets), packed)
+    known = counted.groupBy("grp").applyInArrow(lambda t: group_prefixes(t, percent), "a long, b long, n int, l int, prefix array<long>, tokens array<long>")
+    classes = durable(named.join(known, ["a", "b"], "left"))
     sets = classes.where("node IS NOT NULL AND size(prefix) > 0")
 
     postings = sets.select("node", F.explode("prefix").alias("t"))
     pivots = postings.groupBy("t").agg(F.min_by("node", F.xxhash64("node", F.col("t").bitwiseAND(3))).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     families = durable(postings.join(pivots.select("t", "pivot"), "t").where("node <> pivot").select("node", "pivot").distinct())
-    packed = sets.select("node", F.struct("n", "l", "prefix", "tokens").alias("s"))
-    pairs = families.join(packed.withColumnRenamed("s", "x"), "node").join(packed.select(F.col("node").alias("pivot"), F.col("s").alias("y")), "pivot")
+    whole = sets.select("node", F.struct("n", "l", "prefix", "tokens").alias("s"))
+    pairs = families.join(whole.withColumnRenamed("s", "x"), "node").join(whole.select(F.col("node").alias("pivot"), F.col("s").alias("y")), "pivot")
     first = durable(verified(pairs.select(F.col("node").alias("u"), F.col("pivot").alias("v"), "x", "y"), percent))
     found = components(first)
     second = components(cross_links(families, sets, found, percent))
