@@ -136,17 +136,12 @@ def weak_quality(table):
 
 @query("op7_chunk_dedup")
 def chunk_dedup(table):
-    """Passages of all documents that another one has as well; documents without any are listed with zeros."""
+    """The documents with passages that another one has as well, what they lose and which documents keep it."""
     from prismill.llm.chunk_dedup import shared_passages
 
-    docs = table("documents").select("doc_id", "text")
-    none = F.array().cast("array<bigint>")
-    found = shared_passages(docs)
+    found = shared_passages(table("documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",")
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
-        F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce("holders", none).alias("holders"),
-    )
+    return found.select("doc_id", "n_shared", "n_dropped", spans.alias("spans"), "holders")
 
 
 @query("op10_vector_graph")

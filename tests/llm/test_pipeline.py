@@ -19,7 +19,9 @@ def test_query(spark, name):
     else:
         table = "embeddings" if name.startswith("op10") else "documents"
         key = "vec_id" if name.startswith("op10") else "doc_id"
-        assert df.select(key).distinct().count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+        found, rows = df.select(key).distinct().count(), spark.read.parquet(f"{DATA}/{table}.parquet").count()
+        # Only the search for passages leaves documents out: those without any.
+        assert 0 < found < rows if name.startswith("op7") else found == rows
 
 
 def test_stages_take_effect_and_keep_the_columns(spark, tmp_path):
