@@ -92,35 +92,24 @@ def distance(x: list[Column], centre: Column, inverse: Column) -> Column:
     return total
 
 
-def inverted(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, centre, inverse) of (keys, n, s: sums, q: sums of products): one small matrix per group."""
+def concentrated(table: pa.Table, keys: list[str]) -> pa.Table:
+    """(keys, centre, inverse) of one group from its sums by distance step: the nearest KEPT_SHARE of the rows, whole steps."""
     p, least = len(FEATURES), np.diag(np.square(LEAST))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            centres, inverses = [], []
-            for n, s, q in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist(), batch.column("q").to_pylist()):
-                mean = np.array(s) / max(n, 1)
-                second, at = np.zeros((p, p)), iter(q)
-                for i in range(p):
-                    for j in range(i, p):
-                        second[i, j] = second[j, i] = next(at) / max(n, 1)
-                scatter = (second - np.outer(mean, mean)) * CONSISTENCY
-                scatter = (scatter + scatter.T) / 2
-                short = np.maximum(np.diag(least) - np.diag(scatter), 0)
-                inverse = np.linalg.inv(scatter + np.diag(short) + 1e-9 * least)
-                centres.append(mean.tolist())
-                inverses.append(inverse.ravel().tolist())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], [*keys, "n", "centre", "inverse"])
-
-    schema = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.select(*keys, "n", "s", "q").mapInArrow(run, f"{schema}, n long, centre array<double>, inverse array<double>")
-
-
-def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(len(FEATURES))]
-    products = [F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*products).alias("q"))
+    order = np.argsort(table["step"].to_numpy(), kind="stable")
+    counts = table["c"].to_numpy()[order]
+    last = int(np.searchsorted(np.cumsum(counts), KEPT_SHARE * counts.sum())) + 1
+    kept = order[:last]
+    n = counts[:last].sum()
+    mean = np.array([table[f"s{i}"].to_numpy()[kept].sum() for i in range(p)]) / n
+    second = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            second[i, j] = second[j, i] = table[f"q{i}_{j}"].to_numpy()[kept].sum() / n
+    scatter = (second - np.outer(mean, mean)) * CONSISTENCY
+    scatter += np.diag(np.maximum(np.diag(least) - np.diag(scatter), 0)) + 1e-9 * least
+    first = {k: table[k].slice(0, 1) for k in keys}
+    listed = lambda v: pa.array([v.ravel().tolist()], pa.list_(pa.float64()))
+    return pa.table({**first, "centre": listed(mean), "inverse": listed(np.linalg.inv(scatter))})
 
 
 def with_fit(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,30 +124,23 @@ def with_fit(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
 def fit_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, centre, inverse) by minimum covariance determinant: concentration steps on the KEPT_SHARE nearest rows.
 
-    The start lies at the coordinate-wise medians with robust scales. A step keeps the rows within the group's KEPT_SHARE
-    quantile of distances (counted in fine steps of their logarithm, so that groups of any size take one pass) and fits anew.
+    The start lies at the coordinate-wise medians with robust scales. A step sums the rows by group and distance, in fine steps
+    of its logarithm (at most some thousand sums per group, whatever its rows), and fits anew to the nearest ones.
     """
     p = len(FEATURES)
-    low, mid, high = ([F.percentile_approx(f"x{i}", q, 1000) for i in range(p)] for q in (0.25, 0.5, 0.75))
+    x = [F.col(f"x{i}") for i in range(p)]
+    low, mid, high = ([F.percentile_approx(v, q, 1000) for v in x] for q in (0.25, 0.5, 0.75))
     scales = [F.greatest((h - l) / 1.349, F.lit(least)) for l, h, least in zip(low, high, LEAST)]  # noqa: E741
     diagonal = [1 / (scales[i] * scales[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    fits = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*mid).alias("centre"), F.array(*diagonal).alias("inverse")).where(F.col("n") >= LEAST_ROWS))
-    step = F.floor(F.log2(F.greatest(F.col("d"), F.lit(1e-9))) * 32)
+    start = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*mid).alias("centre"), F.array(*diagonal).alias("inverse"))
+    fits = durable(start.where(F.col("n") >= LEAST_ROWS).drop("n"))
+    step = F.floor(F.log2(F.greatest(distance(x, F.col("centre"), F.col("inverse")), F.lit(1e-9))) * 32)
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", centre array<double>, inverse array<double>"
     for _ in range(STEPS):
-        near = with_fit(rows, fits, keys).withColumn("d", distance([F.col(f"x{i}") for i in range(p)], F.col("centre"), F.col("inverse"))).withColumn("step", step)
-        counts = near.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("c"))
-        # At most some thousand steps per group, whatever its rows.
-        ladder = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "c"))).alias("ladder"), F.sum("c").alias("rows"))
-        reached = F.aggregate(
-            "ladder",
-            F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("step")),
-            lambda a, s: F.struct((a["c"] + s["c"]).alias("c"), F.coalesce(a["step"], F.when(a["c"] + s["c"] >= KEPT_SHARE * F.col("rows"), s["step"])).alias("step")),
-            lambda a: a["step"],
-        )
-        bounds = ladder.select(*keys, reached.alias("bound"))
-        kept = with_fit(near.drop("n", "centre", "inverse"), bounds, keys).where("step <= bound")
-        fits = durable(inverted(summed(kept, keys), keys))
-    return fits.drop("n")
+        by_step = with_fit(rows, fits, keys).groupBy(*keys, step.alias("step")).agg(F.count(F.lit(1)).alias("c"), *sums)
+        fits = durable(by_step.groupBy(*keys).applyInArrow(lambda table: concentrated(table, keys), schema))
+    return fits
 
 
 def reject_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -177,16 +159,24 @@ def reject_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = measured(docs, id_col, text_col, by).withColumn("base_failed", failed)
     rows = durable(rows.select("*", *[f.alias(f"x{i}") for i, f in enumerate(features())]))
-    good = rows.where("NOT base_failed").select(*keys, *[f"x{i}" for i in range(len(FEATURES))])
-    everyone = good.withColumn("one", F.lit(1))
-    levels = [(keys, fit_groups(good, keys)), (keys[:1], fit_groups(good, keys[:1])), (["one"], fit_groups(everyone, ["one"]))]
-    judged, found = rows.withColumn("one", F.lit(1)), []
-    for k, (level, fits) in enumerate(levels):
-        named = fits.select(*[F.col(c).alias(f"f{k}_{c}") for c in level], F.col("centre").alias(f"centre{k}"), F.col("inverse").alias(f"inverse{k}"))
+    good = rows.where("NOT base_failed")
+    # Every row counts in its group, in its language and in the whole.
+    levels = [keys, keys[:1], []] if len(keys) > 1 else [keys, []]
+    placed = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in level else F.lit(None).cast("string")).alias(c) for c in keys]) for k, level in enumerate(levels)]))
+    x = [f"x{i}" for i in range(len(FEATURES))]
+    fits = fit_groups(good.select(placed.alias("at"), *x).select("at.*", *x), ["level", *keys])
+    judged, found = rows, []
+    for k, level in enumerate(levels[:-1]):
+        named = fits.where(F.col("level") == k).select(*[F.col(c).alias(f"f{k}_{c}") for c in level], F.col("centre").alias(f"centre{k}"), F.col("inverse").alias(f"inverse{k}"))
         match = F.lit(True)
         for c in level:
             match = match & F.col(c).eqNullSafe(F.col(f"f{k}_{c}"))
         judged = judged.join(named, match, "left")
-        found.append(distance([F.col(f"x{i}") for i in range(len(FEATURES))], F.col(f"centre{k}"), F.col(f"inverse{k}")))
+        found.append(distance([F.col(v) for v in x], F.col(f"centre{k}"), F.col(f"inverse{k}")))
+    if whole := fits.where(F.col("level") == len(levels) - 1).first():
+        literal = lambda values: F.array(*[F.lit(v) for v in values])
+        found.append(distance([F.col(v) for v in x], literal(whole["centre"]), literal(whole["inverse"])))
+    else:
+        found.append(F.lit(None).cast("double"))
     judged = judged.withColumn("distance", F.coalesce(*found))
     return judged.select(F.col("id").alias(id_col), *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
