@@ -21,7 +21,7 @@ numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY region ORDER BY total DES
 SELECT region, brand, ROUND(total, 4) AS total, CAST(position AS INTEGER) AS position FROM numbered WHERE position <= 3""",
 )
 def top_brands_per_region(t: Tables) -> DataFrame:
-    totals = sales(t).groupBy("region", "brand").agg(F.sum("amount").alias("total"))
+    totals = sales(t, "region", "brand", "amount").groupBy("region", "brand").agg(F.sum("amount").alias("total"))
     return shapes.top_per_group(totals, "region", "total", 3, ["brand"]).select("region", "brand", money("total"), "position")
 
 
@@ -65,7 +65,7 @@ def region_filter_projection(t: Tables) -> DataFrame:
 FROM sales WHERE date >= (SELECT MAX(date) FROM sales) - INTERVAL 6 MONTH GROUP BY ALL""",
 )
 def last_six_months(t: Tables) -> DataFrame:
-    return shapes.recent_totals(sales(t), ["region"], "date", "amount", 6).select("region", "month", money("total"), "n_rows")
+    return shapes.recent_totals(sales(t, "date", "region", "amount"), ["region"], "date", "amount", 6).select("region", "month", money("total"), "n_rows")
 
 
 @named("last_three_months_of_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 3 MONTH")
@@ -97,7 +97,7 @@ _span("month_to_date", "CAST(o_orderdate AS DATE) BETWEEN date_trunc('month', DA
 
 @named("totals_by_month", f"{WITH_SALES} SELECT strftime(date, '%Y-%m') AS month, ROUND(SUM(amount), 4) AS total, COUNT(*) AS n_rows FROM sales GROUP BY 1")
 def totals_by_month(t: Tables) -> DataFrame:
-    return shapes.totals_by_month(sales(t), "date", "amount").select("month", money("total"), "n_rows")
+    return shapes.totals_by_month(sales(t, "date", "amount"), "date", "amount").select("month", money("total"), "n_rows")
 
 
 @named(
@@ -107,12 +107,12 @@ FROM sales GROUP BY 1, 2""",
 )
 def totals_by_year_quarter(t: Tables) -> DataFrame:
     dims = [F.year("date").alias("year"), F.quarter("date").alias("quarter")]
-    return shapes.totals_by(sales(t), dims, "amount").select("year", "quarter", money("total"), "n_rows")
+    return shapes.totals_by(sales(t, "date", "amount"), dims, "amount").select("year", "quarter", money("total"), "n_rows")
 
 
 @named("first_quarter_sales", f"{WITH_SALES} SELECT product, ROUND(SUM(amount), 4) AS total, COUNT(*) AS n_rows FROM sales WHERE quarter(date) = 1 GROUP BY product")
 def first_quarter_sales(t: Tables) -> DataFrame:
-    return shapes.totals_by(sales(t).where(F.quarter("date") == 1), ["product"], "amount").select("product", money("total"), "n_rows")
+    return shapes.totals_by(sales(t, "date", "product", "amount").where(F.quarter("date") == 1), ["product"], "amount").select("product", money("total"), "n_rows")
 
 
 @named(
@@ -135,7 +135,7 @@ def default_listing(t: Tables) -> DataFrame:
 WHERE product = 'ECONOMY' AND amount >= 1000 GROUP BY brand, region""",
 )
 def declared_metric(t: Tables) -> DataFrame:
-    rows = shapes.metric_query(sales(t), "amount", "avg", ["brand", "region"], [("product", "=", "ECONOMY"), ("amount", ">=", 1000.0)])
+    rows = shapes.metric_query(sales(t, "amount", "brand", "region", "product"), "amount", "avg", ["brand", "region"], [("product", "=", "ECONOMY"), ("amount", ">=", 1000.0)])
     return rows.select("brand", "region", money("avg_amount"))
 
 
@@ -145,12 +145,12 @@ def declared_metric(t: Tables) -> DataFrame:
 ORDER BY count_distinct_order_id DESC, brand LIMIT 5""",
 )
 def declared_metric_top(t: Tables) -> DataFrame:
-    return shapes.metric_query(sales(t), "order_id", "count_distinct", ["brand"], limit=5)
+    return shapes.metric_query(sales(t, "order_id", "brand"), "order_id", "count_distinct", ["brand"], limit=5)
 
 
 @named("global_totals", f"{WITH_SALES} SELECT ROUND(SUM(amount), 4) AS total, COUNT(*) AS n_rows, ROUND(AVG(amount), 4) AS mean FROM sales")
 def global_totals(t: Tables) -> DataFrame:
-    return sales(t).agg(
+    return sales(t, "amount").agg(
         F.round(F.sum("amount"), 4).alias("total"), F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("amount"), 4).alias("mean")
     )
 
@@ -161,7 +161,7 @@ def global_totals(t: Tables) -> DataFrame:
 ROUND(AVG(amount), 4) AS mean, CAST(MIN(date) AS VARCHAR) AS first_day, CAST(MAX(date) AS VARCHAR) AS last_day FROM sales""",
 )
 def statistics_bundle(t: Tables) -> DataFrame:
-    return sales(t).agg(
+    return sales(t, "amount", "region", "product", "date").agg(
         F.round(F.sum("amount"), 4).alias("total"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("region").alias("n_regions"),
@@ -174,12 +174,12 @@ def statistics_bundle(t: Tables) -> DataFrame:
 
 @named("totals_by_region", f"{WITH_SALES} SELECT region, ROUND(SUM(amount), 4) AS total, COUNT(*) AS n_rows FROM sales GROUP BY region")
 def totals_by_region(t: Tables) -> DataFrame:
-    return shapes.totals_by(sales(t), ["region"], "amount").orderBy(F.col("total").desc(), "region").select("region", money("total"), "n_rows")
+    return shapes.totals_by(sales(t, "region", "amount"), ["region"], "amount").orderBy(F.col("total").desc(), "region").select("region", money("total"), "n_rows")
 
 
 @named("totals_by_region_product", f"{WITH_SALES} SELECT region, product, ROUND(SUM(amount), 4) AS total, COUNT(*) AS n_rows FROM sales GROUP BY region, product")
 def totals_by_region_product(t: Tables) -> DataFrame:
-    return shapes.totals_by(sales(t), ["region", "product"], "amount").select("region", "product", money("total"), "n_rows")
+    return shapes.totals_by(sales(t, "region", "product", "amount"), ["region", "product"], "amount").select("region", "product", money("total"), "n_rows")
 
 
 @named(
@@ -188,7 +188,7 @@ def totals_by_region_product(t: Tables) -> DataFrame:
 WHERE part_id IN (SELECT part_id FROM sales GROUP BY part_id HAVING COUNT(*) > 30) GROUP BY region""",
 )
 def busy_parts_by_region(t: Tables) -> DataFrame:
-    return shapes.totals_of_busy(sales(t), "part_id", ["region"], "amount", 30).select("region", "n_rows", money("total"))
+    return shapes.totals_of_busy(sales(t, "part_id", "region", "amount"), "part_id", ["region"], "amount", 30).select("region", "n_rows", money("total"))
 
 
 @named(
@@ -210,12 +210,12 @@ PIVOT_YEARS = list(range(1995, 2002))
 {", ".join(f"ROUND(SUM(CASE WHEN year(date) = {y} THEN amount ELSE 0 END), 4) AS total_{y}" for y in PIVOT_YEARS)} FROM sales GROUP BY product""",
 )
 def year_pivot(t: Tables) -> DataFrame:
-    return shapes.year_pivot(sales(t), ["product"], "date", "amount", PIVOT_YEARS).select("product", *[money(f"total_{y}") for y in PIVOT_YEARS])
+    return shapes.year_pivot(sales(t, "date", "product", "amount"), ["product"], "date", "amount", PIVOT_YEARS).select("product", *[money(f"total_{y}") for y in PIVOT_YEARS])
 
 
 @named("distinct_groups", f"{WITH_SALES} SELECT region, brand FROM sales GROUP BY region, brand")
 def distinct_groups(t: Tables) -> DataFrame:
-    return sales(t).select("region", "brand").distinct()
+    return sales(t, "region", "brand").distinct()
 
 
 @named(
@@ -233,7 +233,7 @@ SELECT region, brand, total, CAST(RANK() OVER (PARTITION BY region ORDER BY tota
 CAST(DENSE_RANK() OVER (PARTITION BY region ORDER BY total DESC) AS INTEGER) AS dense_rank FROM totals""",
 )
 def ranks_per_region(t: Tables) -> DataFrame:
-    totals = sales(t).groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total"))
+    totals = sales(t, "region", "brand", "amount").groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total"))
     return shapes.ranked(totals, "region", "total").drop("at_or_above")
 
 
@@ -272,7 +272,7 @@ SELECT product, year, ROUND(total, 4) AS total,
 ROUND((total - LAG(total) OVER w) / LAG(total) OVER w * 100, 4) AS growth_pct FROM y WINDOW w AS (PARTITION BY product ORDER BY year)""",
 )
 def yearly_growth(t: Tables) -> DataFrame:
-    return shapes.yearly_growth(sales(t), "product", "date", "amount").select("product", "year", money("total"), money("growth_pct"))
+    return shapes.yearly_growth(sales(t, "date", "product", "amount"), "product", "date", "amount").select("product", "year", money("total"), money("growth_pct"))
 
 
 @named(
@@ -298,7 +298,7 @@ def time_halves(t: Tables) -> DataFrame:
 
 @named("top_five_parts", f"{WITH_SALES} SELECT part_id, ROUND(SUM(amount), 4) AS total FROM sales GROUP BY part_id ORDER BY SUM(amount) DESC, part_id LIMIT 5")
 def top_five_parts(t: Tables) -> DataFrame:
-    totals = sales(t).groupBy("part_id").agg(F.sum("amount").alias("total"))
+    totals = sales(t, "part_id", "amount").groupBy("part_id").agg(F.sum("amount").alias("total"))
     return totals.orderBy(F.col("total").desc(), "part_id").limit(5).select("part_id", money("total"))
 
 
@@ -320,7 +320,7 @@ def latest_orders(t: Tables) -> DataFrame:
 SELECT (SELECT brand FROM totals ORDER BY total DESC, brand LIMIT 1) AS highest, (SELECT brand FROM totals ORDER BY total, brand LIMIT 1) AS lowest""",
 )
 def best_and_worst_brand(t: Tables) -> DataFrame:
-    return shapes.first_or_last_group(sales(t), "brand", "amount")
+    return shapes.first_or_last_group(sales(t, "brand", "amount"), "brand", "amount")
 
 
 @named("largest_parts", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
@@ -371,7 +371,7 @@ SELECT region, brand, total, (SELECT COUNT(*) FROM totals u WHERE u.region = tot
 FROM totals WHERE (SELECT COUNT(*) FROM totals u WHERE u.region = totals.region AND u.total >= totals.total) <= 3""",
 )
 def at_most_three_above(t: Tables) -> DataFrame:
-    totals = sales(t).groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total"))
+    totals = sales(t, "region", "brand", "amount").groupBy("region", "brand").agg(F.count(F.lit(1)).alias("total"))
     return shapes.at_least_as_large(totals, "region", "total", 3)
 
 

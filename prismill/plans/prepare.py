@@ -499,7 +499,7 @@ def stacked_areas(t: Tables) -> DataFrame:
 SELECT part_id, 'total' AS series, ROUND(total, 4) AS value FROM b UNION ALL SELECT part_id, 'lines', lines FROM b""",
 )
 def bar_values(t: Tables) -> DataFrame:
-    bars = sales(t).groupBy("part_id").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("lines"))
+    bars = sales(t, "part_id", "amount").groupBy("part_id").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("lines"))
     return rounded(charts.bar_values(bars, "part_id", ["total", "lines"]), 4)
 
 
@@ -509,7 +509,7 @@ def bar_values(t: Tables) -> DataFrame:
 SELECT CASE WHEN i < 10 THEN brand ELSE 'Other' END AS slice, ROUND(SUM(v), 2) AS value, ROUND(SUM(v) * 100 / (SELECT SUM(v) FROM b), 6) AS pct FROM r GROUP BY 1""",
 )
 def pie_slices(t: Tables) -> DataFrame:
-    slices = charts.pie_slices(sales(t).groupBy("brand").agg(F.sum("amount").alias("v")), "brand", "v")
+    slices = charts.pie_slices(sales(t, "brand", "amount").groupBy("brand").agg(F.sum("amount").alias("v")), "brand", "v")
     return slices.select("slice", F.round("value", 2).alias("value"), F.round("pct", 6).alias("pct"))
 
 

@@ -7,28 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from prismill.plans.registry import Tables
 
 
-def sales(t: Tables) -> DataFrame:
-    """One row per order line: date, region of the customer, product kind and brand, amount."""
-    line = t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount")
-    )
-    return (
-        line.join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t.region.select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("o_orderdate").cast("date").alias("date"),
-            F.col("r_name").alias("region"),
-            F.col("p_type").alias("product"),
-            F.col("p_brand").alias("brand"),
-            "amount",
-        )
-    )
+COLUMNS = ("order_id", "line", "part_id", "date", "region", "product", "brand", "amount")
+
+
+def sales(t: Tables, *columns: str) -> DataFrame:
+    """One row per order line: date, region of the customer, product kind and brand, amount; or just the named columns.
+
+    A dimension is joined only for columns it provides: every line has its order, customer and part, so the rows are the same.
+    """
+    wanted = columns or COLUMNS
+    rows = t.lineitem
+    if {"date", "region"} & set(wanted):
+        rows = rows.join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "region" in wanted:
+        nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+        customers = t.customer.select("c_custkey", "c_nationkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
+        rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    if {"product", "brand"} & set(wanted):
+        rows = rows.join(t.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    provided = {
+        "order_id": F.col("l_orderkey"), "line": F.col("l_linenumber"), "part_id": F.col("l_partkey"), "date": F.expr("CAST(o_orderdate AS DATE)"), "region": F.col("r_name"),
+        "product": F.col("p_type"), "brand": F.col("p_brand"), "amount": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+    }
+    return rows.select(*[provided[c].alias(c) for c in wanted])
 
 
 SALES = """sales AS (
