@@ -10,8 +10,9 @@ from prismill.session import durable
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of `links` (u, v): component is the smallest node reachable.
 
-    Each round every node hooks to its smallest neighbour, pointers jump, and the graph is contracted to the links that
-    still join two of these. Every link loses an end, so a chain of n links takes about log n rounds. Null ends and loops
+    Each round every node hooks to its smallest neighbour, pointers jump to their roots, and the graph is contracted to the
+    links between roots. Of two linked nodes one hooks, so the roots of a round are a fraction of its nodes and there are
+    about log n rounds, with about log n jumps each. Null ends and loops
     don't count. Nothing is collected; a hub is pre-aggregated by its minimum and its join is split as a skewed one.
     """
     left = durable(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -22,10 +23,13 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         both = left.select("u", "v").unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("up"))
         hook = durable(hook)
-        for _ in range(2):
+        # Pointers jump until every node points at its root: the depth halves each time.
+        while True:
             above = hook.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            hook = hook.join(above, hook["up"] == above["n2"], "left").select("node", F.coalesce("up2", "up").alias("up"))
-        hook = durable(hook)
+            jumped = durable(hook.join(above, hook["up"] == above["n2"]).select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")))
+            hook = jumped.select("node", "up")
+            if not jumped.where("moved").head(1):
+                break
         ends_u, ends_v = hook.select(F.col("node").alias("u"), F.col("up").alias("pu")), hook.select(F.col("node").alias("v"), F.col("up").alias("pv"))
         moved = left.join(ends_u, "u").join(ends_v, "v").where("pu <> pv")
         left = durable(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
