@@ -145,12 +145,13 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     taken = mix(docs, id_col, text_col, source_col, **options)
     h, k, i = (free_name(docs.columns, n) for n in ("row_hash", "row_place", "row_id"))
+    t_id, t_hash, t_place, t_copies = (free_name(docs.columns, n) for n in ("t_id", "t_hash", "t_place", "t_copies"))
     number = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(1)))
     left = docs.withColumn(i, F.col(id_col)).withColumn(h, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).withColumn(k, number)
-    right = taken.where("copies > 0").select(F.col(id_col).alias("t_id"), F.col("row_hash").alias("t_hash"), "copies")
-    right = right.withColumn("t_place", F.row_number().over(Window.partitionBy("t_id", "t_hash").orderBy(F.desc("copies"))))
-    joined = left.join(right, F.col(i).eqNullSafe(F.col("t_id")) & (F.col(h) == F.col("t_hash")) & (F.col(k) == F.col("t_place")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias(k)).drop(k)
+    right = taken.where("copies > 0").select(F.col(id_col).alias(t_id), F.col("row_hash").alias(t_hash), F.col("copies").alias(t_copies))
+    right = right.withColumn(t_place, F.row_number().over(Window.partitionBy(t_id, t_hash).orderBy(F.desc(t_copies))))
+    joined = left.join(right, F.col(i).eqNullSafe(F.col(t_id)) & (F.col(h) == F.col(t_hash)) & (F.col(k) == F.col(t_place)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(t_copies))).alias(k)).drop(k)
 
 
 def quotas(counts: DataFrame) -> DataFrame:
