@@ -2,7 +2,7 @@
 
 import pytest
 from compare import differences, duck
-from conftest import DATA
+from paths import DATA
 
 from __spark_entry__ import entry, oracle_sql, queries
 

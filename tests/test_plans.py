@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import DATA
+from paths import DATA
 
 from __spark_entry__ import queries
 
