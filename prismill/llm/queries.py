@@ -150,3 +150,86 @@ def vector_graph(table):
     from prismill.llm.vector_graph import near_vectors
 
     return near_vectors(table("embeddings").select("vec_id", "embedding"))
+
+
+NEGATIVES_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(table):
+    """Hard negatives for each positive of the anchors among all vectors."""
+    from prismill.llm.hard_negatives import mine_negatives
+
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")).alias("label")
+    return mine_negatives(table("embeddings").select("vec_id", label, "embedding"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+WARC_SQL = r"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM hashed)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query("op12_warc_members", WARC_SQL)
+def warc_members(table):
+    """All pages as WARC records: written as one stream per file, normalised to members, read back by their index."""
+    import uuid
+
+    from prismill.llm.warc import normalise, page_of, read_index, read_records, write_archives
+    from prismill.session import shared_folder
+
+    pages = table("pages").select("page_id", "url", "html")
+    folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    archives = normalise(write_archives(pages, f"{folder}/whole"), f"{folder}/members")
+    found = read_records(read_index(archives), with_payload=False)
+    return found.select(page_of("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_of("refers_to").alias("refers_to"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, term, coalesce(c, 0) AS c FROM groups g JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+sized AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, count(*) OVER (PARTITION BY lang, source) AS v,
+  sum(c) OVER (PARTITION BY lang, term) AS cl, sum(c) OVER (PARTITION BY lang) AS nl FROM grid),
+shares AS (SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v)::HUGEINT)::BIGINT AS p, (1 + (1000000000::HUGEINT * (cl + 2)) // (nl + 2 * v)::HUGEINT)::BIGINT AS q FROM sized),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT lang, source, part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary")::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_source_audit", AUDIT_SQL)
+def source_audit(table):
+    """How far the sources of each language diverge, over all documents."""
+    from prismill.llm.source_audit import audit_sources
+
+    return audit_sources(table("documents").select("text", "lang", "source"))
