@@ -247,7 +247,6 @@ def normalise(archives: DataFrame, folder: str, path_col: str = "path", level: i
                             held.append(squeeze.compress(b"\r\n\r\n") + squeeze.flush())
                         except BrokenArchive:
                             complete = False
-                            offset += length if records else 0
                             break
                         out.write(b"".join(held))
                         length += sum(map(len, held))
