@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from prismill.functions.numbers import share
 from prismill.operators.ordered import cumulate
-from prismill.operators.quantiles import quantiles
+from prismill.operators.quantiles import fit_quantiles
 
 # Fixed value: the smallest step between doubles at one, used to keep logarithms and quotients finite.
 EPSILON = 2.220446049250313e-16
@@ -97,7 +97,7 @@ def regression(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """One row with the error metrics, in one aggregate plus the exact median of the absolute error."""
     y, e = F.col("y"), F.col("e")
     rows = df.select(F.col(label).cast("double").alias("y"), (F.col(label) - F.col(prediction)).cast("double").alias("e")).withColumn("abs_e", F.abs("e"))
-    median = quantiles(rows, ["abs_e"], [0.5]).select(F.col("quantiles")[0]).scalar()
+    median = F.lit(fit_quantiles(rows, ["abs_e"], [0.5]).get("abs_e", [None])[0]).cast("double")
     n = F.count(F.lit(1))
     return rows.agg(
         F.avg(e * e).alias("mse"),

@@ -1,8 +1,10 @@
 """Totals, positions and carried values over a global order, without a one-task window.
 
-A window without PARTITION BY, or with one hot key, sorts everything in one task. Here the rows are
-range-partitioned by (group, order), so that also a single huge group spreads over many partitions;
-only one total per (group, partition) is accumulated and added back as an offset.
+A window without PARTITION BY, or with one hot key, sorts everything in one task. Here each row finds its slice of the global
+order (group, order) by a binary search among splitters, so that also a single huge group spreads over many tasks. What a
+slice needs to know of those before it is one row per (group, slice), which enters the slice's window as its first row.
+Nothing is written and no job runs before the result is asked for: splitters come from a scalar subquery, and the totals read
+the order columns and the summed columns only.
 """
 
 from __future__ import annotations
@@ -10,34 +12,39 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from prismill.session import durable
+SLICE, FLAG, TIE = "__slice", "__flag", "__tie"
+# Distinct places that the splitters are taken from (expected, drawn by hash), and most slices.
+SAMPLED, MOST_SLICES = 4096, 1024
 
-SLICE = "__slice"
 
+def sliced(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
+    """`df` with the slice of each row in `__slice`: slices ascend along (partition_by, order_by) and hold similar numbers of rows.
 
-def ranged(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), slices: int | None = None) -> DataFrame:
-    """Rows range-partitioned by group and order with their partition number in `__slice`.
-
-    Without `slices` the session's shuffle partitions are the upper bound, and adaptive execution joins small
-    neighbours. The number must not change between two uses, hence the checkpoint. `order_by` should end in a
-    unique key: only then can a value that holds a third of all rows be split.
+    `slices` is rounded up to a power of two; by default the session's shuffle partitions decide. `order_by` should end in a
+    unique key: only then can a value that holds a third of all rows be split. `df` must give the same rows each time it is
+    read, as the splitters, the totals and the rows are read apart.
     """
-    keys = [F.col(c) for c in (*partition_by, *order_by)]
-    spread = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
-    return durable(spread.withColumn(SLICE, F.spark_partition_id()))
+    wanted = min(MOST_SLICES, slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = max(0, (wanted - 1).bit_length())
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate((*partition_by, *order_by))])
+    if not steps:
+        return df.withColumn(SLICE, F.lit(0))
+    rows = df.select(F.count(F.lit(1))).scalar()
+    drawn = F.pmod(F.xxhash64("p"), F.lit(1 << 30)) < F.floor(F.lit(float(SAMPLED << 30)) / F.greatest(rows, F.lit(1)))
+    ranked = df.select(place.alias("p")).where(drawn).distinct().agg(F.array_sort(F.collect_list("p")).alias("s"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit((1 << steps) - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / (1 << steps)).cast("int")))
+    splitters = ranked.select(starts.alias("s")).scalar()
+    # Widths of the search, halved each time: the slice is the last one that starts at or before the row.
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+    found = F.aggregate(widths, F.lit(0), lambda at, width: F.when(F.get("__splitters", at + width) <= F.col("__place"), at + width).otherwise(at))
+    return df.withColumn("__splitters", splitters).withColumn("__place", place).withColumn(SLICE, found).drop("__splitters", "__place")
 
 
-def _with_offsets(rows: DataFrame, offsets: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    renamed = offsets.select(
-        F.col(SLICE).alias("__o_slice"),
-        *[F.col(c).alias(f"__o_{c}") for c in partition_by],
-        *[c for c in offsets.columns if c != SLICE and c not in partition_by],
-    )
-    match = rows[SLICE] == renamed["__o_slice"]
-    for c in partition_by:
-        match = match & rows[c].eqNullSafe(renamed[f"__o_{c}"])
-    return rows.join(renamed, match, "inner").drop("__o_slice", *[f"__o_{c}" for c in partition_by])
+def _with_first_rows(rows: DataFrame, first: DataFrame, flag: int) -> DataFrame:
+    """Rows and the one row per slice that speaks for the slices before (or behind) it, told apart by `__flag`."""
+    return rows.withColumn(FLAG, F.lit(1)).unionByName(first.withColumn(FLAG, F.lit(flag)), allowMissingColumns=True)
 
 
 def cumulate(
@@ -47,8 +54,9 @@ def cumulate(
     sums: dict[str, Column] | None = None,
     index: str | None = None,
     slices: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add a 1-based position `index` and inclusive running totals `sums` in the given order.
+    """Add a 1-based position `index`, inclusive running totals `sums`, and the whole group's `totals` (name: which sum).
 
     >>> cumulate(df, ["day", "id"], ["region"], sums={"so_far": F.col("amount")}, index="position")
     """
@@ -56,19 +64,20 @@ def cumulate(
     if index:
         sums[index] = F.lit(1).cast("bigint")
     inputs = {name: f"__in_{i}" for i, name in enumerate(sums)}
-    source = df.select("*", *[expr.alias(inputs[name]) for name, expr in sums.items()])
-    rows = ranged(source, order_by, partition_by, slices)
+    rows = sliced(df.select("*", *[expr.alias(inputs[name]) for name, expr in sums.items()]), order_by, partition_by, slices)
     before = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(SLICE, *partition_by)
-        .agg(*[F.sum(c).alias(c) for c in inputs.values()])
-        .select(SLICE, *partition_by, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__off{c}") for c in inputs.values()])
-    )
-    inside = Window.partitionBy(SLICE, *partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _with_offsets(rows, offsets, partition_by).select(
-        *df.columns,
-        *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__off{c}")).alias(name) for name, c in inputs.items()],
-    )
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    summed = rows.groupBy(SLICE, *partition_by).agg(*[F.sum(c).alias(c) for c in inputs.values()])
+    wide = {c: summed.schema[c].dataType for c in inputs.values()}
+    whole = {name: F.sum(inputs[of]).over(Window.partitionBy(*partition_by)).alias(f"__all_{inputs[of]}_{name}") for name, of in (totals or {}).items()}
+    first = summed.select(SLICE, *partition_by, *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast(wide[c]).alias(c) for c in inputs.values()], *whole.values())
+    # Sums are wider than what is summed: both sides of the union take the sum's type.
+    rows = rows.withColumns({c: F.col(c).cast(wide[c]) for c in inputs.values() if kinds[c] != wide[c]})
+    inside = Window.partitionBy(SLICE, *partition_by).orderBy(FLAG, *order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = {name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in inputs.items()}
+    running |= {name: F.first(f"__all_{inputs[of]}_{name}").over(inside) for name, of in (totals or {}).items()}
+    both = _with_first_rows(rows, first, 0).select(*df.columns, FLAG, *[value.alias(f"__out_{i}") for i, value in enumerate(running.values())])
+    return both.where(F.col(FLAG) == 1).select(*df.columns, *[F.col(f"__out_{i}").alias(name) for i, name in enumerate(running)])
 
 
 def carry(
@@ -80,31 +89,26 @@ def carry(
     slices: int | None = None,
 ) -> DataFrame:
     """Replace nulls in `columns` by the nearest earlier (or later) value in the given order."""
-    rows = ranged(df, order_by, partition_by, slices)
-    position = F.struct(*order_by)
+    held = {c: f"__held_{i}" for i, c in enumerate(columns)}
+    rows = sliced(df.withColumns({h: F.col(c) for c, h in held.items()}), order_by, partition_by, slices)
     nearest = F.max_by if forward else F.min_by
-    edge = [nearest(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"__edge_{c}") for c in columns]
+    edges = rows.groupBy(SLICE, *partition_by).agg(*[nearest(F.col(h), F.when(F.col(h).isNotNull(), F.struct(*order_by))).alias(h) for h in held.values()])
     if forward:
-        outside = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        inside = Window.partitionBy(SLICE, *partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        pick = F.last
+        outside, pick, flag = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1), F.last, 0
+        inside = Window.partitionBy(SLICE, *partition_by).orderBy(FLAG, *order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     else:
-        outside = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
-        inside = Window.partitionBy(SLICE, *partition_by).orderBy(*order_by).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        pick = F.first
-    edges = rows.groupBy(SLICE, *partition_by).agg(*edge)
-    offsets = edges.select(
-        SLICE, *partition_by, *[pick(f"__edge_{c}", ignorenulls=True).over(outside).alias(f"__in_{c}") for c in columns]
-    )
-    filled = {c: F.coalesce(pick(c, ignorenulls=True).over(inside), F.col(f"__in_{c}")).alias(c) for c in columns}
-    return _with_offsets(rows, offsets, partition_by).select(*[filled.get(c, F.col(c)) for c in df.columns])
+        outside, pick, flag = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing), F.first, 2
+        inside = Window.partitionBy(SLICE, *partition_by).orderBy(FLAG, *order_by).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    first = edges.select(SLICE, *partition_by, *[pick(h, ignorenulls=True).over(outside).alias(h) for h in held.values()])
+    both = _with_first_rows(rows, first, flag)
+    filled = both.select(*[c for c in df.columns], FLAG, *[pick(h, ignorenulls=True).over(inside).alias(f"{h}_filled") for h in held.values()])
+    return filled.where(F.col(FLAG) == 1).select(*[F.col(f"{held[c]}_filled").alias(c) if c in held else F.col(c) for c in df.columns])
 
 
 def ntile(df: DataFrame, order_by: Sequence[str], buckets: int, name: str = "bucket") -> DataFrame:
     """SQL NTILE over the whole frame: the first `rows % buckets` buckets hold one row more."""
     numbered = cumulate(df, order_by, index="__position")
     rows = df.select(F.count(F.lit(1))).scalar()
-    base, extra = F.expr("1"), None
     base = F.floor(rows / F.lit(buckets)).cast("bigint")
     extra = rows % F.lit(buckets)
     position = F.col("__position") - 1
@@ -118,16 +122,13 @@ def ntile(df: DataFrame, order_by: Sequence[str], buckets: int, name: str = "buc
 def previous_gap(df: DataFrame, order_by: str, partition_by: Sequence[str] = (), name: str = "gap") -> DataFrame:
     """Distance to the previous row along one numeric order column; null in the first row.
 
-    The previous value is the carried predecessor, so slices hand their last value on.
+    A slice begins with the last value of those before it. Rows of equal value are told apart by a hash of the whole row, so
+    a hot value spreads over slices; which of its rows comes first doesn't change a gap.
     """
-    rows = ranged(df, [order_by], partition_by)
+    hashed = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = sliced(df.withColumn(TIE, F.xxhash64(*hashed)).withColumn("__value", F.col(order_by)), [order_by, TIE], partition_by)
     outside = Window.partitionBy(*partition_by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(SLICE, *partition_by)
-        .agg(F.max(order_by).alias("__last"))
-        .select(SLICE, *partition_by, F.max("__last").over(outside).alias("__before"))
-    )
-    inside = Window.partitionBy(SLICE, *partition_by).orderBy(order_by)
-    return _with_offsets(rows, offsets, partition_by).select(
-        *df.columns, (F.col(order_by) - F.coalesce(F.lag(order_by).over(inside), F.col("__before"))).alias(name)
-    )
+    first = rows.groupBy(SLICE, *partition_by).agg(F.max("__value").alias("__value")).select(SLICE, *partition_by, F.max("__value").over(outside).alias("__value"))
+    inside = Window.partitionBy(SLICE, *partition_by).orderBy(FLAG, "__value")
+    gaps = _with_first_rows(rows, first, 0).select(*df.columns, FLAG, (F.col("__value") - F.lag("__value").over(inside)).alias("__gap"))
+    return gaps.where(F.col(FLAG) == 1).select(*df.columns, F.col("__gap").alias(name))

@@ -17,7 +17,7 @@ from prismill.functions.numbers import (
     share,
     string_columns,
 )
-from prismill.operators.quantiles import fit_quantiles, quantiles
+from prismill.operators.quantiles import fit_quantiles
 from prismill.sources.readers import read_file
 
 # One generated aggregate stays well below the JVM method limits up to about this many expressions.
@@ -194,8 +194,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "min": lambda c: F.min(c).cast("double"),
         "max": lambda c: F.max(c).cast("double"),
     }
-    medians = quantiles(df, columns, [0.5]).select("column_name", F.col("quantiles")[0].alias("median"))
-    return per_column(df, columns, measures).join(medians, "column_name", "left")
+    medians = fit_quantiles(df, columns, [0.5])
+    known = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(medians[c][0] if c in medians else None).cast("double") for c in columns]))
+    return per_column(df, columns, measures).withColumn("median", F.element_at(known, F.col("column_name")))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5) -> DataFrame:

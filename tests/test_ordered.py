@@ -44,9 +44,9 @@ def test_position_without_group(frame, rows):
 
 
 def test_hot_group_is_spread(frame):
-    from prismill.operators.ordered import SLICE, ranged
+    from prismill.operators.ordered import SLICE, sliced
 
-    slices = ranged(frame, ["t", "id"], ["g"], 6).where("g = 'hot'").select(SLICE).distinct().count()
+    slices = sliced(frame, ["t", "id"], ["g"], 6).where("g = 'hot'").select(SLICE).distinct().count()
     assert slices > 1
 
 
@@ -96,3 +96,49 @@ def test_groups_and_columns_without_values_keep_their_row(spark):
     assert got == {("a", "x"): [2.0], ("b", "x"): [None], (None, "x"): [5.0], ("a", "y"): [None], ("b", "y"): [None], (None, "y"): [None]}
     whole = {r["column_name"]: r["quantiles"] for r in quantiles(rows.limit(0), ["x"], [0.5]).collect()}
     assert whole == {"x": [None]}
+
+
+def test_plans_run_no_job_and_write_nothing(spark, frame):
+    spark.sparkContext.setJobGroup("plans", "building plans")
+    try:
+        built = [
+            cumulate(frame, ["t", "id"], ["g"], sums={"s": F.col("v")}, index="i"), carry(frame, ["v"], ["t", "id"], ["g"]), ntile(frame, ["t", "id"], 5),
+            previous_gap(frame.select("id", F.col("t").cast("bigint").alias("t")), "t"),
+        ]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plans")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Totals and splitters read the order and the summed columns only: a wide column is scanned and shuffled once.
+    wide = frame.withColumn("wide", F.repeat(F.lit("x"), 100))
+    plan = cumulate(wide, ["t", "id"], ["g"], index="i")._jdf.queryExecution().executedPlan().toString()
+    assert len(built) == 4 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_gap_in_a_hot_value_and_empty_frames(spark):
+    values = [5] * 400 + list(range(10, 60, 7))
+    rows = previous_gap(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x bigint, i int").repartition(6), "x")
+    gaps = sorted((r["x"], r["gap"]) for r in rows.collect() if r["gap"] is not None)
+    assert gaps == sorted((b, b - a) for a, b in zip(sorted(values), sorted(values)[1:]))
+    empty = spark.createDataFrame([], "x bigint, i int")
+    assert previous_gap(empty, "x").count() == cumulate(empty, ["x"], index="p").count() == carry(empty, ["i"], ["x"]).count() == 0
+
+
+def test_selected_quantiles_of_uneven_columns(spark, monkeypatch):
+    """Brackets that narrow over several rounds: far outliers, a hot value, huge and tiny widths, ties, one value, infinities."""
+    from prismill.operators import quantiles as module
+
+    monkeypatch.setattr(module, "CELLS", 64)
+    monkeypatch.setattr(module, "READ", 20)
+    draw = random.Random(4)
+    rows = [(draw.gauss(0, 1) * (1e9 if i % 97 == 0 else 1), 7.0 if i % 3 else draw.random(), draw.choice([-1.7e308, 1.7e308, 0.0, 1.0]), 5e-324 * (i % 40), i % 4, 3.0, None) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double, e int, f double, g double").repartition(6)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    names = ["a", "b", "d", "e", "f"]
+    want = frame.agg(*[F.percentile(F.col(c).cast("double"), shares).alias(c) for c in names]).first()
+    got = fit_quantiles(frame, [*names, "g"], shares)
+    assert got == {c: pytest.approx(list(want[c]), rel=1e-9, abs=1e-300) for c in names}
+    ranks = sorted(r[2] for r in rows)
+    assert fit_quantiles(frame, ["c"], [0.0, 1.0]) == {"c": [ranks[0], ranks[-1]]}
+    assert module.select_ranks(frame.select("c"), {"c": (1500, ranks[0], ranks[-1])}, {"c": [400, 700, 1000]}) == {("c", r): ranks[r] for r in (400, 700, 1000)}
+    odd = spark.createDataFrame([(1.0,), (float("inf"),), (2.0,)], "a double")
+    assert fit_quantiles(odd, ["a"], [0.0, 0.5, 1.0]) == {"a": [1.0, 2.0, float("inf")]}
