@@ -389,12 +389,9 @@ def input_importances(table: DataFrame, inputs: Sequence[str]) -> list[tuple[str
 
 
 def knn_predict(train: DataFrame, queries: DataFrame, columns: Sequence[str], key: str, label: str, k: int = 5, classify: bool = True) -> DataFrame:
-    """(key, prediction): majority of the k nearest training rows, ties to the smaller label, or their mean.
-
-    Neighbours are approximate: see `nearest`.
-    """
+    """(key, prediction): majority of the k nearest training rows, ties to the smaller label, or their mean."""
     x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
-    near = nearest(queries.select(key, x), train.select(key, x), key, len(columns), k, projections=8, reach=2 * k)
+    near = nearest(queries.select(key, x), train.select(key, x), key, len(columns), k)
     votes = near.select(key, F.explode("near").alias("n")).select(key, F.col("n.other").alias("other"))
     labels = train.select(F.col(key).alias("other"), F.col(label).alias("label"))
     joined = votes.join(labels, "other")

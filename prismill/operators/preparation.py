@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from prismill.functions.keys import shuffle_key
 from prismill.functions.numbers import numeric_columns, percent, sample_skewness, share
 from prismill.operators.exploration import task_type
-from prismill.operators.neighbours import nearest
+from prismill.operators.neighbours import nearest, tomek_links
 from prismill.operators.ordered import cumulate, ntile
 from prismill.operators.profiling import fit_bounds, outlier_report, per_column
 from prismill.operators.quantiles import fit_quantiles
 from prismill.operators.shapes import identical_rows
 from prismill.operators.statistics import two_sample_distance
+from prismill.session import durable
 
 ORDER = "__order"
 
@@ -236,19 +237,64 @@ def undersample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFra
     return numbered.where(F.col(ORDER) <= smallest).select(*df.columns)
 
 
-def smote(
-    df: DataFrame, target: str, minority: object, columns: Sequence[str], key: str, copies: int, k: int = 5, projections: int = 4, reach: int = 5, seed: int = 42
-) -> DataFrame:
-    """`copies` synthetic rows per minority row, each on the line to one of about k nearest minority rows."""
+def _draw(*keys: Column, seed: int) -> Column:
+    """A reproducible whole number below 2^32."""
+    return F.conv(F.substring(shuffle_key(*keys, seed=seed), 1, 8), 16, 10).cast("bigint")
+
+
+def smote(df: DataFrame, target: str, minority: object, columns: Sequence[str], key: str, copies: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """`copies` synthetic rows per minority row, each on the line to one of its k nearest minority rows.
+
+    A minority row with a gap in `columns`, or without another one beside it, has no synthetic rows.
+    """
     points = df.where(F.col(target) == F.lit(minority)).select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    near = nearest(points, points, key, len(columns), k, projections, reach, seed, skip_self=True)
+    near = nearest(points, points, key, len(columns), k, skip_self=True).where(F.size("near") > 0)
     made = near.select(key, "x", "near", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    pick = F.pmod(F.xxhash64(key, "copy", F.lit(seed)), F.size("near").cast("bigint")).cast("int")
-    u = F.pmod(F.xxhash64(key, "copy", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0
+    pick = F.pmod(_draw(F.col(key), F.col("copy"), seed=seed), F.size("near")).cast("int")
+    u = _draw(F.col(key), F.col("copy"), seed=seed + 1) / F.lit(float(1 << 32))
     mixed = made.select(key, "copy", F.zip_with("x", F.col("near")[pick]["y"], lambda a, b: a + u * (b - a)).alias("z"))
     return mixed.select(F.col(key).alias("source_key"), "copy", F.lit(minority).alias(target), *[F.col("z")[i].alias(c) for i, c in enumerate(columns)])
 
 
+def balance(df: DataFrame, target: str, columns: Sequence[str], key: str, strategy: str | None = None, k: int = 5, seed: int = 42) -> DataFrame:
+    """(key as text, target, columns..., weight, synthetic): `df` after the strategy that `balance_strategy` names, or `strategy`.
+
+    * none: every row, weight 1. class_weights: every row with its class's weight.
+    * smote: smaller classes get synthetic rows until they are as large as the largest; the rest of a division goes to
+      the rows first by hash. smote_tomek: then both rows of every Tomek link go.
+    * Rows with a null target are left out. A class without neighbours to draw from stays as it is.
+    """
+    strategy = strategy or balance_strategy(df, target).first()["strategy"]
+    known = df.where(F.col(target).isNotNull())
+    shaped = known.select(F.col(key).cast("string").alias(key), target, *[F.col(c).cast("double").alias(c) for c in columns])
+    if strategy == "none":
+        return shaped.withColumns({"weight": F.lit(1.0), "synthetic": F.lit(False)})
+    if strategy == "class_weights":
+        return add_class_weights(shaped, target).withColumn("synthetic", F.lit(False))
+    if strategy not in ("smote", "smote_tomek"):
+        raise ValueError(f"no balancing strategy {strategy!r}")
+    sizes = [(r[0], r["n"]) for r in known.groupBy(target).agg(F.count(F.lit(1)).alias("n")).orderBy("n", target).collect()]
+    out = shaped.withColumn("synthetic", F.lit(False))
+    for value, n in sizes[:-1]:
+        each, rest = divmod(sizes[-1][1] - n, n)
+        if not each and not rest:
+            continue
+        members = known.where(F.col(target) == F.lit(value))
+        placed = cumulate(members.select(key, shuffle_key(F.col(key), seed=seed).alias("__hash")), ["__hash", key], index=ORDER)
+        made = smote(members, target, value, columns, key, each + bool(rest), k, seed)
+        if rest:
+            late = placed.where(F.col(ORDER) > rest).select(F.col(key).alias("source_key"), F.lit(each).alias("copy"))
+            made = made.join(late, ["source_key", "copy"], "left_anti")
+        named = F.concat_ws("#", F.col("source_key").cast("string"), (F.col("copy") + 1).cast("string")).alias(key)
+        out = out.unionByName(made.select(named, F.col(target).cast(shaped.schema[target].dataType).alias(target), *columns, F.lit(True).alias("synthetic")))
+    if strategy == "smote_tomek":
+        out = durable(out)
+        links = durable(tomek_links(out, target, columns, key))
+        ends = links.select(key).unionAll(links.select(F.col("other").alias(key)))
+        out = out.join(ends, key, "left_anti")
+    return out.select(key, target, *columns, F.lit(1.0).alias("weight"), "synthetic")
+
+
 # --- selection and checks ---------------------------------------------------------------------------------
 
 

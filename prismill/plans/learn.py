@@ -131,7 +131,18 @@ def package_catalogue(t: Tables) -> DataFrame:
     return listed.select("name", "task", "target", "saved_at", F.size("features").alias("n_features"), F.round(F.col("metrics")["r2"], 4).alias("r2"))
 
 
-@named("knn_predict")
+@named(
+    "knn_predict",
+    """WITH f AS (SELECT doc_id, quality, len(string_split_regex(text, '[\\x09-\\x0D ]+'))::DOUBLE AS n, length(text)::DOUBLE AS size, ln(1 + n_chars::DOUBLE) AS a,
+length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[\\p{L}\\p{N}\\x09-\\x0D ]', '', 'g')) AS marks FROM labels JOIN documents USING (doc_id)),
+x AS (SELECT doc_id, quality, a, ln(1 + n) AS b, digits / nullif(size, 0) AS c, marks / nullif(size, 0) AS d FROM f),
+usable AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL),
+near AS (SELECT q.doc_id, q.quality, p.quality AS vote FROM usable q JOIN usable p ON q.doc_id % 5 = 0 AND p.doc_id % 5 <> 0
+QUALIFY ROW_NUMBER() OVER (PARTITION BY q.doc_id ORDER BY (q.a - p.a) * (q.a - p.a) + (q.b - p.b) * (q.b - p.b) + (q.c - p.c) * (q.c - p.c) + (q.d - p.d) * (q.d - p.d), p.doc_id) <= 5),
+votes AS (SELECT doc_id, quality, vote, COUNT(*) AS n FROM near GROUP BY ALL),
+won AS (SELECT doc_id, quality, vote AS prediction FROM votes QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n DESC, vote) = 1)
+SELECT quality, prediction, COUNT(*) AS n FROM won GROUP BY ALL""",
+)
 def knn_predict(t: Tables) -> DataFrame:
     rows = labelled_documents(t)
     test = F.col("doc_id") % 5 == 0

@@ -209,12 +209,42 @@ def undersample(t: Tables) -> DataFrame:
     return preparation.undersample(t.labels.select("doc_id", "toxic"), "toxic", "doc_id")
 
 
-@named("smote")
+_SHAPES = """WITH f AS (SELECT doc_id, toxic, ln(1 + n_chars::DOUBLE) AS log_chars, len(string_split_regex(text, '[\x09-\x0D ]+'))::DOUBLE AS n_words FROM labels JOIN documents USING (doc_id)),
+pairs AS (SELECT a.doc_id, b.doc_id AS other, a.toxic, b.toxic AS other_toxic, a.log_chars AS xl, a.n_words AS xw, b.log_chars AS yl, b.n_words AS yw,
+(a.log_chars - b.log_chars) * (a.log_chars - b.log_chars) + (a.n_words - b.n_words) * (a.n_words - b.n_words) AS distance FROM f a JOIN f b ON a.doc_id <> b.doc_id)"""
+
+
+def _shapes(t: Tables) -> DataFrame:
+    words = F.size(F.split("text", r"[\x09-\x0D ]+")).cast("double")
+    return t.labels.join(t.documents, "doc_id").select("doc_id", "toxic", F.log1p(F.col("n_chars")).alias("log_chars"), words.alias("n_words"))
+
+
+@named(
+    "smote",
+    _SHAPES
+    + """, near AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY distance, other) - 1 AS i, COUNT(*) OVER (PARTITION BY doc_id) AS n FROM pairs WHERE toxic = 1 AND other_toxic = 1),
+made AS (SELECT *, unnest(range(3)) AS copy FROM near WHERE i < 5),
+drawn AS (SELECT *, ('0x' || substr(md5(doc_id || '|' || copy || '|42'), 1, 8))::BIGINT % least(n, 5) AS pick, ('0x' || substr(md5(doc_id || '|' || copy || '|43'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM made)
+SELECT doc_id AS source_key, copy::INTEGER AS copy, 1 AS toxic, ROUND(xl + u * (yl - xl), 6) AS log_chars, ROUND(xw + u * (yw - xw), 6) AS n_words FROM drawn WHERE i = pick""",
+)
 def smote(t: Tables) -> DataFrame:
-    rows = t.labels.join(t.documents, "doc_id").select(
-        "doc_id", "toxic", F.log1p(F.col("n_chars")).alias("log_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words")
-    )
-    return rounded(preparation.smote(rows, "toxic", 1, ["log_chars", "n_words"], "doc_id", 3))
+    return rounded(preparation.smote(_shapes(t), "toxic", 1, ["log_chars", "n_words"], "doc_id", 3))
+
+
+@named(
+    "tomek_links",
+    _SHAPES
+    + """, near AS (SELECT * FROM pairs QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY distance, other) = 1)
+SELECT a.doc_id, a.other FROM near a JOIN near b ON a.other = b.doc_id AND b.other = a.doc_id WHERE a.doc_id < a.other AND a.toxic <> a.other_toxic""",
+)
+def tomek(t: Tables) -> DataFrame:
+    return preparation.tomek_links(_shapes(t), "toxic", ["log_chars", "n_words"], "doc_id")
+
+
+@named("balanced_labels")
+def balanced_labels(t: Tables) -> DataFrame:
+    made = preparation.balance(_shapes(t), "toxic", ["log_chars", "n_words"], "doc_id")
+    return made.groupBy("toxic", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @named(

@@ -1,11 +1,12 @@
 """Training, scoring and packages on small frames."""
 
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from prismill.operators import modeling, preparation
+from prismill.operators import modeling, neighbours, preparation
 from prismill.sources import packages
 
 
@@ -86,13 +87,64 @@ def test_smote_lies_between_minority_rows(spark):
     assert facts[0] == 80 and 0 <= facts[1] and facts[2] <= 1 and facts[3] == 1
 
 
-def test_neighbours_find_most_true_ones(spark):
-    draw = random.Random(2)
-    points = [(i, draw.random(), draw.random()) for i in range(200)]
-    rows = spark.createDataFrame(points, "id int, a double, b double").select("id", F.array("a", "b").alias("x"))
-    near = {r["id"]: [n["other"] for n in r["near"]] for r in modeling.nearest(rows, rows, "id", 2, 3, projections=8, reach=10, skip_self=True).collect()}
-    exact = {i: sorted(points, key=lambda q: (q[1] - a) ** 2 + (q[2] - b) ** 2)[1][0] for i, a, b in points}
-    assert sum(exact[i] in near[i] for i in exact) > 190
+def brute_near(points, queries, k, skip):
+    """{key: [(distance, other)]} of (key, vector) lists."""
+    out = {}
+    for key, x in queries:
+        # Added from the left: sum() rounds in another way.
+        found = sorted((functools.reduce(lambda s, ab: s + (ab[0] - ab[1]) * (ab[0] - ab[1]), zip(x, y), 0.0), other) for other, y in points if not (skip and other == key))
+        out[key] = found[:k]
+    return out
+
+
+@pytest.mark.parametrize("n, leaf, block", [(60, 10_000, 4096), (900, 40, 4096), (900, 40, 16)])
+def test_neighbours_are_exact(spark, monkeypatch, n, leaf, block):
+    """Several leaves and blocks, ties on a grid, a point that a third of all rows share, queries outside of every box."""
+    monkeypatch.setattr(neighbours, "LEAF", leaf)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 7)
+    draw = random.Random(n)
+    points = [(i, [3.0, 3.0, -0.0] if i % 3 == 0 else [float(draw.randrange(12)), draw.gauss(0, 4) if i % 2 else 1.0, 0.0]) for i in range(n)]
+    queries = points[: n // 2] + [(n + i, [draw.gauss(0, 40), draw.gauss(0, 40), draw.random()]) for i in range(20)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    for k, skip in ((1, True), (4, True), (3, False)):
+        got = {r["id"]: [(m["distance"], m["other"]) for m in r["near"]] for r in neighbours.nearest(make(queries), make(points), "id", 3, k, skip).collect()}
+        assert got == brute_near(points, queries, k, skip)
+
+
+def test_neighbours_of_odd_rows(spark):
+    kinds = "id string, x array<double>"
+    rows = spark.createDataFrame([("a", [1.0]), ("a", [1.0]), ("b", [2.0]), (None, [1.0]), ("c", None), ("d", [None]), ("e", [float("nan")]), ("f", [1.0, 2.0])], kinds)
+    got = sorted(((r["id"] or "", [m["other"] for m in r["near"]]) for r in neighbours.nearest(rows, rows, "id", 1, 5).collect()))
+    assert got == [("", ["a", "a", "b"]), ("a", ["a", "a", "b"]), ("a", ["a", "a", "b"]), ("b", ["b", "a", "a"])]
+    assert neighbours.nearest(rows.limit(0), rows, "id", 1, 5).count() == 0
+    assert [r["near"] for r in neighbours.nearest(rows.limit(1), rows.limit(0), "id", 1, 5).collect()] == [[]]
+
+
+def test_tomek_links_and_balanced_rows(spark):
+    draw = random.Random(9)
+    rows = [(i, int(i < 30), draw.gauss(0, 1) + (i < 30), draw.gauss(0, 1)) for i in range(260)] + [(500, None, 0.0, 0.0), (501, 1, None, 0.0)]
+    frame = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    whole = [(i, [a, b]) for i, y, a, b in rows if y is not None and a is not None]
+    near = {i: found[0][1] for i, found in brute_near(whole, whole, 1, True).items()}
+    label = {r[0]: r[1] for r in rows}
+    want = {(i, j) for i, j in near.items() if i < j and near[j] == i and label[i] != label[j]}
+    assert {tuple(r) for r in neighbours.tomek_links(frame, "y", ["a", "b"], "id").collect()} == want and want
+    count = lambda df: {(r["y"], r["synthetic"]): r["count"] for r in df.groupBy("y", "synthetic").count().collect()}
+    for strategy, made in (("none", 0), ("class_weights", 0), ("smote", 230 - 31)):
+        got = count(preparation.balance(frame, "y", ["a", "b"], "id", strategy))
+        # The row with a gap has no neighbours, so its synthetic rows are missing.
+        assert got[0, False] == 230 and got[1, False] == 31 and made - 8 <= got.get((1, True), 0) <= made
+    weights = {r["y"]: r["weight"] for r in preparation.balance(frame, "y", ["a", "b"], "id", "class_weights").collect()}
+    assert weights == {0: pytest.approx(261 / 460), 1: pytest.approx(261 / 62)}
+    more = preparation.balance(frame, "y", ["a", "b"], "id", "smote").select("id", "y", "a", "b").collect()
+    kept = preparation.balance(frame, "y", ["a", "b"], "id").select("id").collect()
+    places = [(r["id"], [r["a"], r["b"]]) for r in more if r["a"] is not None]
+    near, label = {i: f[0][1] for i, f in brute_near(places, places, 1, True).items()}, {r["id"]: r["y"] for r in more}
+    gone = {i for i, j in near.items() if near[j] == i and label[i] != label[j]}
+    assert sorted(r["id"] for r in kept) == sorted(set(label) - gone) and gone
+    with pytest.raises(ValueError):
+        preparation.balance(frame, "y", ["a", "b"], "id", "luck")
 
 
 def test_knn_majority_and_mean(people):
