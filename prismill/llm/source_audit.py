@@ -8,20 +8,23 @@ corrections for shared terms only, which are summed from the posting lists in bl
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prismill.llm.text import ascii_lower, require
+from prismill.llm.text import require
 from prismill.session import durable
 
-# Fixed value: what lies between terms, every ASCII character but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]++"
+# Of each byte: A-Z in lower case, letters and bytes of other characters as they are, a blank for the rest of ASCII.
+FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 SHARE = 1_000_000_000
 # Sources of a text in one row, sources of one side of a matrix of sums, matrices that a task holds.
 SOURCES, BLOCK, HELD = 512, 512, 64
+# Terms that a task counts before it hands them on, and parts that the sources of one language are dealt to.
+HELD_TERMS, SALTS = 1_000_000, 32
 
 
 def share(count: str, total: str, terms: str) -> Column:
@@ -39,7 +42,7 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
     A text that stands in very many sources is split by source, so that no row grows without bound.
     """
-    keyed = docs.select("lang", "source", "text", F.sha2("text", 256).alias("digest"))
+    keyed = docs.select("lang", "source", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     counts = keyed.groupBy("lang", "digest", "source").agg(F.count(F.lit(1)).alias("n"))
     wide = counts.groupBy("lang", "digest").agg(F.ceil(F.count(F.lit(1)) / SOURCES).alias("slices"))
     few = counts.join(wide, ["lang", "digest"]).withColumn("slice", F.pmod(F.xxhash64("source"), F.col("slices")))
@@ -50,14 +53,55 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(lang, term, source, count, df): occurrences, and documents that hold the term."""
-    terms = F.array_sort(F.filter(F.split(ascii_lower(F.col("text")), BETWEEN), lambda t: t != ""))
-    # Sorted, a term's first place tells its documents; one row per occurrence then serves both counts.
-    rows = texts.select("lang", "of", terms.alias("terms")).select("lang", "of", "terms", F.posexplode("terms").alias("at", "term"))
-    fresh = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    runs = rows.select("lang", "term", "of", fresh.cast("int").alias("fresh"))
-    each = runs.select("lang", "term", "fresh", F.explode("of").alias("o"))
-    return each.groupBy("lang", "term", "o.source").agg(F.sum("o.n").alias("count"), F.sum(F.col("o.n") * F.col("fresh")).alias("df"))
+    """(lang, term, all, df, entries) of (lang, text, of): entries are the structs (source, count) of a term.
+
+    A task tokenises each of its texts once, adds up its sources in counters of at most HELD_TERMS terms, and hands on one
+    row per term, so that a term crosses the network once per task and not once per source or document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        counts: dict[tuple, Counter] = defaultdict(Counter)
+        holding: dict[tuple, Counter] = defaultdict(Counter)
+
+        def flush():
+            code: dict[tuple, int] = {}
+            keys, of, n, df = [], [], [], []
+            for (lang, source), found in counts.items():
+                keys += [code.setdefault((lang, term), len(code)) for term in found]
+                of += [source] * len(found)
+                n += found.values()
+                df += map(holding[lang, source].__getitem__, found)
+            counts.clear()
+            holding.clear()
+            order = np.argsort(np.array(keys, np.int64), kind="stable")
+            cuts = pa.array(np.append(0, np.cumsum(np.bincount(keys, minlength=len(code)))), pa.int32())
+            listed = (pa.ListArray.from_arrays(cuts, pa.array(values, kind).take(pa.array(order))) for values, kind in ((of, pa.string()), (n, pa.int64()), (df, pa.int64())))
+            names = pa.array([k[0] for k in code], pa.string()), pa.array([k[1] for k in code], pa.binary()).cast(pa.string())
+            out = pa.RecordBatch.from_arrays([*names, *listed], ["lang", "term", "sources", "counts", "dfs"])
+            yield from (out.slice(k, 10_000) for k in range(0, out.num_rows, 10_000))
+
+        for batch in batches:
+            for lang, raw, of in zip(batch.column("lang").to_pylist(), batch.column("text"), batch.column("of").to_pylist()):
+                words = raw.as_py().translate(FOLD).split()
+                if len(of) == 1 and of[0]["n"] == 1:
+                    counts[lang, of[0]["source"]].update(words)
+                    holding[lang, of[0]["source"]].update(set(words))
+                    continue
+                tf = Counter(words)
+                for o in of:
+                    into, held, n = counts[lang, o["source"]], holding[lang, o["source"]], o["n"]
+                    for term, k in tf.items():
+                        into[term] += k * n
+                        held[term] += n
+            if sum(map(len, counts.values())) > HELD_TERMS:
+                yield from flush()
+        if counts:
+            yield from flush()
+
+    rows = texts.select("lang", F.col("text").cast("binary").alias("text"), "of").mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>, dfs array<long>")
+    each = rows.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts", "dfs")).alias("e"))
+    each = each.groupBy("lang", "term", F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("count"), F.sum("e.dfs").alias("df"))
+    return each.groupBy("lang", "term").agg(F.sum("count").alias("all"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "count")).alias("entries"))
 
 
 def corrections(postings: DataFrame) -> DataFrame:
@@ -119,8 +163,7 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     require(docs, text_col, lang_col, source_col)
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     docs = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
-    postings = counted(collapsed(docs)).groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("count").alias("all"), F.collect_list(F.struct("source", "count")).alias("entries"))
-    kept = durable(postings.where(F.col("df") >= least).drop("df"))
+    kept = durable(counted(collapsed(docs)).where(F.col("df") >= least).drop("df"))
 
     whole = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("n_lang"))
     own = kept.select("lang", F.explode("entries").alias("e")).groupBy("lang", "e.source", "e.count").agg(F.count(F.lit(1)).alias("terms"))
@@ -132,8 +175,9 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     # As if no term were shared: a source's own terms against the other's share of an absent term, from counts of counts.
     named = lambda s: groups.select("lang", F.col("source").alias(f"source_{s}"), F.col("s").alias(s), F.col("p0").alias(f"p0_{s}"), F.col("held").alias(f"held_{s}"), "v")
-    mine = own.join(groups.select("lang", "source", "s", "n", "v"), ["lang", "source"]).select("lang", F.col("s").alias("a"), share("count", "n", "v").alias("p"), "terms")
-    alone = mine.join(groups.select("lang", F.col("s").alias("b"), "p0"), "lang").where("a <> b").groupBy("lang", "a", "b").agg(F.sum(F.col("terms") * distance("p", "p0")).alias("alone"))
+    mine = own.join(groups.select("lang", "source", "s", "n", "v"), ["lang", "source"]).select("lang", F.col("s").alias("a"), share("count", "n", "v").alias("p"), "terms", F.pmod(F.xxhash64("s", "count"), F.lit(SALTS)).cast("int").alias("salt"))
+    others = groups.select("lang", F.col("s").alias("b"), "p0", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    alone = mine.join(others, ["lang", "salt"]).where("a <> b").groupBy("lang", "a", "b").agg(F.sum(F.col("terms") * distance("p", "p0")).alias("alone"))
 
     terms = kept.select("lang", "term", "all", F.explode("entries").alias("e")).select("lang", "term", "all", "e.source", "e.count")
     terms = terms.join(groups.select("lang", "source", "s", "n", "n_lang", "v", "p0"), ["lang", "source"]).select("lang", "source", "term", "s", "p0", share("count", "n", "v").alias("p"), share("all", "n_lang", "v").alias("q"))
