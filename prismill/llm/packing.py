@@ -8,13 +8,16 @@ sequences of powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -22,99 +25,119 @@ from tokenizers import Tokenizer
 from prismill.llm.text import require
 from prismill.session import durable
 
-# Words that a Python worker remembers, words encoded at once, and documents split at once.
-REMEMBERED, AT_ONCE, DOCS_AT_ONCE = 1_000_000, 2_000, 500
+# Words that a Python worker remembers before it drops those not met since the last time, and documents encoded at once.
+REMEMBERED, DOCS_AT_ONCE = 600_000, 2_000
 # Tokens of a shard, terms of a query, and the usual parameters of BM25.
 SHARD, TERMS, K1, B = 1_000_000, 12, 1.2, 0.75
+# Signs that are pieces of their own behind letters.
 TAILS = frozenset(".,;:!?")
 # The signs that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+# The white space, and the borders between pieces, of the vocabulary file that words can be remembered of.
+WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+find_pieces = regex.compile(PIECES.replace("\\s", WHITE)).findall
 
 
 class WordIds:
-    """Token ids of blank-separated words. The pre-tokenizer splits at blanks, so a text's ids are those of its words in turn."""
+    """Token ids of texts from remembered words and pieces of words.
+
+    A vocabulary whose rules are those above splits texts into pieces that never cross a blank and that the model encodes one
+    by one, so a text's ids are those of its words in turn and a word's ids those of its pieces. With any other vocabulary,
+    and for texts that may hold special tokens, whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        parts = lambda name, inner: (rules.get(name) or {}).get(inner)
+        self.by_words = parts("normalizer", "normalizers") == NORMALIZER and parts("pre_tokenizer", "pretokenizers") == PRE_TOKENIZER and not parts("model", "byte_fallback")
         self.forget()
 
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.store = np.zeros(1 << 16, np.uint32)
-        self.begin, self.used, self.count = np.zeros(1 << 12, np.int64), 0, 0
-
-    def put(self, word: str, ids) -> None:
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        if self.count + 2 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.store[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.codes[word] = self.count
-        self.count += 1
-        self.begin[self.count] = self.used
-
-    def get(self, word: str) -> np.ndarray:
-        code = self.codes[word]
-        return self.store[self.begin[code] : self.begin[code + 1]]
-
-    def encode_words(self, words: list[str]) -> None:
-        plain, model = [], self.tokenizer.model
-        for w in words:
-            if w.isascii() and w.isalpha() and w.islower():
-                # One run of lower-case letters: normaliser and pre-tokenizer leave it as it is.
-                self.put(w, [t.id for t in model.tokenize(w)])
-            elif w.isalpha() and w.islower() and max(w) < "\u0250" and unicodedata.is_normalized("NFC", w):
-                self.put(w, [t.id for t in model.tokenize("".join(map(_SIGNS.__getitem__, w.encode())))])
-            elif "<|" in w or not w.isprintable():
-                self.put(w, self.tokenizer.encode(w, add_special_tokens=False).ids)
+        self.store, self.begin = array("I"), array("q", [0])
+        self.old: tuple[dict[str, int], array, array] = ({}, self.store, self.begin)
+
+    def age(self) -> None:
+        """Words that are not met again before the next ageing are forgotten."""
+        old = self.codes, self.store, self.begin
+        self.forget()
+        self.old = old
+
+    def add(self, piece: str) -> None:
+        """Remember a piece."""
+        sent = piece if piece.isascii() and piece.isprintable() else "".join(map(_SIGNS.__getitem__, piece.encode()))
+        self.store.extend([t.id for t in self.tokenizer.model.tokenize(sent)])
+        self.codes[piece] = len(self.begin) - 1
+        self.begin.append(len(self.store))
+
+    def learn(self, words: list[str]) -> None:
+        codes, store, begin = self.codes, self.store, self.begin
+        old, old_store, old_begin = self.old
+        for word in words:
+            if word in codes:
+                continue
+            if word in old:
+                code = old[word]
+                store.extend(old_store[old_begin[code] : old_begin[code + 1]])
+            elif word.isalpha():
+                self.add(word)
+                continue
+            elif not word.isprintable():
+                # Python may not know a character yet that the vocabulary's rules take for a letter.
+                store.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
             else:
-                plain.append(w)
-        for k in range(0, len(plain), AT_ONCE):
-            part = plain[k : k + AT_ONCE]
-            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(done.ids, np.uint32), np.array([o[0] for o in done.offsets], np.int64)
-            first = np.cumsum([0, *[len(w) + 1 for w in part]])
-            cuts = np.searchsorted(at, first)
-            for w, lo, hi in zip(part, cuts, cuts[1:]):
-                self.put(w, ids[lo:hi])
-
-    def learn(self, words: set[str]) -> None:
-        """Words are encoded without the sign at their end, in lower case if they are ASCII: many share one form."""
-        bases = {}
-        for w in words:
-            base, tail = (w[:-1], w[-1]) if w[-1] in TAILS and w[-2:-1].isalpha() else (w, "")
-            bases[w] = (base.lower() if base.isascii() and base.isalpha() else base, tail)
-        self.encode_words([b for b in {x for pair in bases.values() for x in pair if x} if b not in self.codes])
-        for w, (base, tail) in bases.items():
-            if w not in self.codes:
-                self.put(w, np.concatenate([self.get(base), self.get(tail)]) if tail else self.get(base))
+                base = word[:-1]
+                pieces = (base, word[-1]) if word[-1:] in TAILS and base.isalpha() else find_pieces(word)
+                for piece in pieces:
+                    if piece not in codes:
+                        self.add(piece)
+                if word in codes:
+                    continue
+                for piece in pieces:
+                    code = codes[piece]
+                    store.extend(store[begin[code] : begin[code + 1]])
+            codes[word] = len(begin) - 1
+            begin.append(len(store))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, with `end` behind."""
         if not texts:
             return []
-        if self.count > REMEMBERED:
-            self.forget()
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        codes = np.fromiter(map(self.codes.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            words = [flat[k] for k in new]
-            self.learn(set(words))
-            codes[new] = [self.codes[w] for w in words]
+        whole = {k for k, t in enumerate(texts) if not self.by_words or "<|" in t}
+        if len(self.codes) > REMEMBERED:
+            self.age()
+        # One letter has another lower case at a word's end in Python than in the vocabulary's rules.
+        plain = ["" if k in whole else (t if t.isascii() else unicodedata.normalize("NFC", t).replace("\u03a3", "\u03c3")).lower() for k, t in enumerate(texts)]
+        split = pa.compute.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        seen = split.values.dictionary_encode()
+        words = seen.dictionary.to_pylist()
+        self.learn(words)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[seen.indices.to_numpy()]
         # The end is a word of its own behind each text.
-        codes = np.insert(codes, np.cumsum([len(words) for words in split]), -1)
-        begin, size = self.begin[codes], self.begin[codes + 1] - self.begin[codes]
+        ends = split.offsets.to_numpy()[1:]
+        codes = np.insert(codes, ends, -1)
+        begins, store = np.frombuffer(self.begin, np.int64), np.frombuffer(self.store, np.uint32) if len(self.store) else np.zeros(1, np.uint32)
+        begin, size = begins[codes], begins[codes + 1] - begins[codes]
         last = codes < 0
         size[last] = 1
         upto = np.cumsum(size)
         begin[last] = 0
-        ids = self.store[np.repeat(begin - (upto - size), size) + np.arange(upto[-1])]
+        narrow = np.int32 if max(len(store), upto[-1]) < 2**31 else np.int64
+        ids = store[np.repeat((begin - (upto - size)).astype(narrow), size) + np.arange(upto[-1], dtype=narrow)]
         ids[upto[last] - 1] = end
-        return np.split(ids, upto[last][:-1])
+        out = np.split(ids, upto[last][:-1])
+        for k in whole:
+            out[k] = np.array([*self.tokenizer.encode(texts[k], add_special_tokens=False).ids, end], np.uint32)
+        return out
 
 
 _known: dict[str, WordIds] = {}
