@@ -55,9 +55,9 @@ def split_words(batch: pa.RecordBatch, name: str) -> Iterator[list[bytes]]:
 
 
 def class_of(words: list[bytes]) -> tuple[int, int]:
-    """128-bit digest of the word sequence."""
+    """96-bit digest of the word sequence: 64 bits and 32 bits."""
     digest = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:12], "little")
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -91,16 +91,36 @@ def frequent(docs: DataFrame, width: int, rows: int) -> tuple[np.ndarray, float]
     return np.sort(hot.view(np.uint64)), mean / max(1, min(rows, HOT_SAMPLE))
 
 
+def hash_shift(buckets: int) -> int:
+    """Bits that a shingle's hash leaves out: it has 48 and those that its bucket tells, 64 at most."""
+    return 16 - min(16, buckets.bit_length() - 1)
+
+
+def six_bytes(values: np.ndarray) -> bytes:
+    """Values below 2^48, six bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def dealt(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Rows of packed arrays: the shingles of many classes that fall into one bucket. `hot` ones go by class, uncounted."""
-    flag = np.uint32(2**31)  # marks the entry that reports the set's size
+    """Rows of packed arrays: the shingles of many classes that fall into one bucket. `hot` ones go by class, uncounted.
+
+    A shingle is the quotient of its hash by the number of buckets. `size` is the set's in one entry of each class, 0 elsewhere.
+    """
+    shift = np.uint64(hash_shift(buckets))
 
     def pack(held: list[tuple[int, int, np.ndarray]]):
         sizes = np.array([len(s) for _, _, s in held], np.int64)
         a, b = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
         tokens, doc = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), sizes)
         is_hot = np.isin(tokens, hot, assume_unique=False) if len(hot) else np.zeros(len(tokens), bool)
-        bucket = ((tokens >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        tokens = tokens >> shift
+        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
         bucket = np.where(is_hot, (a[doc] % buckets) + buckets, bucket)
         order = np.argsort(bucket, kind="stable")
         tokens, doc, bucket = tokens[order], doc[order], bucket[order]
@@ -108,16 +128,18 @@ def dealt(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFra
         first[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
         at = np.flatnonzero(first)
         owner, where, count = doc[at], bucket[at], np.diff(np.append(at, len(doc))).astype(np.uint32)
-        size = sizes[owner].astype(np.uint32)
+        size = np.zeros(len(owner), np.uint32)
         home = np.unique(owner, return_index=True)[1]
-        size[home] |= flag
+        size[home] = sizes[owner[home]]
+        count = count.astype(f"<u{1 if count.max() < 256 else 2 if count.max() < 65536 else 4}")
         cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         ends = np.append(cuts[1:], len(where))
         starts = np.append(at, len(doc))
         for lo, hi in zip(cuts, ends):
+            part, uncounted = tokens[starts[lo] : starts[hi]], bool(where[lo] >= buckets)
             yield (
-                int(where[lo] % buckets), bool(where[lo] >= buckets), a[owner[lo:hi]].tobytes(), b[owner[lo:hi]].tobytes(),
-                size[lo:hi].tobytes(), count[lo:hi].tobytes(), tokens[starts[lo] : starts[hi]].tobytes(),
+                int(where[lo] % buckets), uncounted, a[owner[lo:hi]].tobytes(), b[owner[lo:hi]].astype("<u4").tobytes(),
+                size[lo:hi].tobytes(), count[lo:hi].tobytes(), part.tobytes() if uncounted else six_bytes(part // np.uint64(buckets)),
             )
 
     def run(batches):
@@ -146,16 +168,22 @@ def dealt(docs: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFra
     return docs.select("text").mapInArrow(run, "bucket int, hot boolean, a binary, b binary, size binary, count binary, tokens binary")
 
 
-def count_bucket(table: pa.Table, groups: int) -> pa.Table:
+def count_bucket(table: pa.Table, buckets: int) -> pa.Table:
     """Rows of packed arrays (grp, a, b, n, count, tokens, dfs): of the classes of one bucket the shingles that two classes or
-    more share, dealt to `groups` groups by class. n is -1 except where the entry reports the set's size."""
+    more share, dealt to as many groups by class. n is -1 except where the entry reports the set's size."""
     rows: list[tuple] = []
     for hot in (False, True):
         part = table.filter(pa.compute.equal(table["hot"], hot))
         if not part.num_rows:
             continue
         get = lambda name, kind: np.frombuffer(b"".join(part[name].to_pylist()), kind)  # noqa: B023, E731
-        a, b, size, count, tokens = get("a", np.int64), get("b", np.int64), get("size", np.uint32), get("count", np.uint32), get("tokens", np.uint64)
+        a, b, size = get("a", np.int64), get("b", np.uint32), get("size", np.uint32)
+        # Counts have the width that their row needs.
+        count = np.concatenate([np.frombuffer(c, f"<u{4 * len(c) // len(n)}").astype(np.int64) for c, n in zip(part["count"].to_pylist(), part["size"].to_pylist())])
+        if hot:
+            tokens = get("tokens", np.uint64)
+        else:
+            tokens = from_six_bytes(b"".join(part["tokens"].to_pylist())) * np.uint64(buckets) + np.uint64(part["bucket"][0].as_py())
         order = np.lexsort((b, a))
         again = np.zeros(len(a), bool)
         again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
@@ -173,16 +201,16 @@ def count_bucket(table: pa.Table, groups: int) -> pa.Table:
             dfs[order] = np.repeat(np.minimum(runs, HOT - 1), runs)
             keep = dfs > 1
             entry, tokens, dfs = entry[keep], tokens[keep], dfs[keep]
-        home = size >= 2**31
+        home = size > 0
         wanted = np.zeros(len(a), bool)
         wanted[entry] = True
         wanted = (wanted | home) & ~again
         lengths = np.bincount(entry, minlength=len(a))
-        n = np.where(home, (size & np.uint32(2**31 - 1)).astype(np.int64), -1).astype(np.int32)
+        n = np.where(home, size.astype(np.int64), -1).astype(np.int32)
         first = np.cumsum(lengths) - lengths
-        rank = np.argsort(a[wanted] % groups, kind="stable")
+        rank = np.argsort(a[wanted] % buckets, kind="stable")
         picked = np.flatnonzero(wanted)[rank]
-        group = a[picked] % groups
+        group = a[picked] % buckets
         at = np.repeat(first[picked] - (np.cumsum(lengths[picked]) - lengths[picked]), lengths[picked]) + np.arange(lengths[picked].sum())
         tokens, dfs, upto = tokens[at], dfs[at], np.append(0, np.cumsum(lengths[picked]))
         for lo, hi in runs_of(group):
@@ -225,7 +253,7 @@ def choose_prefix(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int) ->
 def group_prefixes(table: pa.Table, percent: int) -> pa.Table:
     """(a, b, n, l, prefix, tokens) for the classes of one group; arrays are empty for classes that no other can resemble."""
     get = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    a, b, n, count, tokens, dfs = get("a", np.int64), get("b", np.int64), get("n", np.int32), get("count", np.int32), get("tokens", np.int64), get("dfs", np.int32)
+    a, b, n, count, tokens, dfs = get("a", np.int64), get("b", np.uint32).astype(np.int64), get("n", np.int32), get("count", np.int32), get("tokens", np.int64), get("dfs", np.int32)
     entry = np.lexsort((b, a))
     owner = np.repeat(np.argsort(entry, kind="stable"), count)  # place of each token's entry in that order
     order = np.lexsort((tokens, dfs, owner))
