@@ -27,6 +27,8 @@ from prismill.session import durable
 PIECE = 1 << 20  # bytes read or inflated at once
 PER_FILE = 1 << 30  # bytes of records in an archive
 SPAN = 64 << 20  # bytes of an archive that one task reads by its index
+MOST_TASKS = 4096  # tasks that archives are dealt to
+SMALL = 100_000  # repeated payloads whose list (digest and id) is sent to all tasks; a longer one is joined by shuffles
 SALTS, HOT = 64, 1000  # parts of a hot payload's rows; a payload is hot with 1 / HOT of all rows
 # Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,19 +51,22 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 def with_types(pages: DataFrame, least: int) -> DataFrame:
     """(id, url, payload, first) of (id, url, payload): `first` is the smallest id with the same payload, if it repeats.
 
-    The payloads of a hot group are spread over SALTS parts, and its one row of the other side is repeated for them.
+    Payloads are only shuffled where many repeat. Those of a hot group are then spread over SALTS parts, and its one row of
+    the other side is repeated for them.
     """
-    keyed = pages.withColumn("digest", F.sha2("payload", 256))
+    keyed = pages.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     sized = keyed.where(F.octet_length("payload") >= least)
     groups = durable(sized.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = groups.agg(F.sum("n")).first()[0] or 0
+    repeated, rows = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+    out = ["id", "url", F.when(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")), F.col("payload")).alias("payload"), "first", F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1")]
+    if repeated <= SMALL:
+        return keyed.join(F.broadcast(groups.drop("n")), "digest", "left").select(*out)
     # At most HOT digests.
     hot = [r.digest for r in groups.where(F.col("n") * HOT >= max(rows, HOT)).select("digest").collect()]
     salt = F.when(F.col("digest").isin(hot), F.pmod(F.xxhash64("id", "url"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     spread = F.when(F.col("digest").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
     groups = groups.select("digest", "first", F.explode(spread).alias("salt"))
-    joined = keyed.withColumn("salt", salt.cast("int")).join(groups, ["digest", "salt"], "left")
-    return joined.select("id", "url", F.when(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")), F.col("payload")).alias("payload"), "first", F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1"))
+    return keyed.withColumn("salt", salt.cast("int")).join(groups, ["digest", "salt"], "left").select(*out)
 
 
 def record_bytes(page, url: str | None, payload: bytes | None, first, size: int, sha1: str, date: str) -> bytes:
@@ -257,9 +262,9 @@ def normalise(archives: DataFrame, folder: str, path_col: str = "path", level: i
                 path = f"{folder}/{name}"
                 yield pa.RecordBatch.from_pylist([{"source": source, "path": path, "index": f"{path}.cdxj", "records": records, "complete": complete}])
 
-    files = archives.where(F.col(path_col).isNotNull()).select(F.col(path_col).cast("string").alias("path"))
-    # A stream has no second entry, so a file is a task's least share; files are dealt evenly.
-    return durable(files.repartition(F.xxhash64("path")).mapInArrow(run, "source string, path string, index string, records long, complete boolean"))
+    files = durable(archives.where(F.col(path_col).isNotNull()).select(F.col(path_col).cast("string").alias("path")))
+    # A stream has no second entry, so a file is a task's least share; each has a task of its own up to a few thousand.
+    return durable(files.repartition(min(MOST_TASKS, max(1, files.count()))).mapInArrow(run, "source string, path string, index string, records long, complete boolean"))
 
 
 def read_index(normalised: DataFrame) -> DataFrame:
