@@ -107,13 +107,13 @@ def mix(
 
     * Size: words of the text, 0 for null or empty text. Documents without words get their rate like others.
     * A null source is a source of its own, the last. Sources take weights by code point, repeating.
-    * Ties and repeated rows: rows are told apart by a hash of id and text; equal rows share a bucket, where their order
+    * Ties and repeated rows: rows are told apart by a hash of id, text and source; equal rows share a bucket, where their order
       changes which of the equal rows is copied, but not how many.
     * Other columns don't matter. No rows: no rows. Reruns agree.
     """
     require(docs, id_col, text_col, source_col)
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text, F.col(source_col).cast("string")).alias("h"))
     rows = durable(rows)
     sizes = durable(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goals = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("bigint").alias("source_size")), weights, most)
@@ -141,13 +141,13 @@ def mix(
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of `docs` as often as `mix` says, with the same columns.
 
-    Rows that repeat id and text are numbered on both sides, so each takes its own number of copies.
+    Rows that repeat id, text and source are numbered on both sides, so each takes its own number of copies.
     """
     taken = mix(docs, id_col, text_col, source_col, **options)
     h, k, i = (free_name(docs.columns, n) for n in ("row_hash", "row_place", "row_id"))
     t_id, t_hash, t_place, t_copies = (free_name(docs.columns, n) for n in ("t_id", "t_hash", "t_place", "t_copies"))
     number = F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(1)))
-    left = docs.withColumn(i, F.col(id_col)).withColumn(h, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).withColumn(k, number)
+    left = docs.withColumn(i, F.col(id_col)).withColumn(h, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), F.col(source_col).cast("string"))).withColumn(k, number)
     right = taken.where("copies > 0").select(F.col(id_col).alias(t_id), F.col("row_hash").alias(t_hash), F.col("copies").alias(t_copies))
     right = right.withColumn(t_place, F.row_number().over(Window.partitionBy(t_id, t_hash).orderBy(F.desc(t_copies))))
     joined = left.join(right, F.col(i).eqNullSafe(F.col(t_id)) & (F.col(h) == F.col(t_hash)) & (F.col(k) == F.col(t_place)))

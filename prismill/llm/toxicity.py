@@ -69,9 +69,9 @@ class Lexicon:
     def automaton(self):
         machine = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            machine.add_word(" " + entry, (len(entry), weight))
+            machine.add_word(" " + entry, (len(entry), weight, entry))
         for phrase in self.exceptions:
-            machine.add_word(" " + phrase, (len(phrase), None))
+            machine.add_word(" " + phrase, (len(phrase), None, phrase))
         machine.make_automaton()
         return machine
 
@@ -83,14 +83,14 @@ class Lexicon:
         folded = " " + fold(text or "")
         if not len(machine):
             return 0.0
-        hits: dict[int, float] = {}
+        hits: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (length, weight) in machine.iter(folded):
+        for end, (length, weight, entry) in machine.iter(folded):
             start = end - length
             if weight is None:
                 spared.append((start, end))
-            elif weight > hits.get(start, 0.0):
-                hits[start] = weight
+            elif weight > hits.get(start, (0.0,))[0]:
+                hits[start] = (weight, entry)
         if not hits:
             return 0.0
         if spared:
@@ -99,7 +99,7 @@ class Lexicon:
             reach = np.maximum.accumulate([e for _, e in spared])
             hits = {s: w for s, w in hits.items() if not (k := bisect.bisect_right(starts, s)) or reach[k - 1] < s}
         total = 0.0
-        for weight, count in Counter(hits.values()).items():
+        for (weight, _), count in sorted(Counter(hits.values()).items()):
             total += weight * math.log2(1 + count)
         return total / math.log2(2 + folded.count(" ") / self.half_length)
 

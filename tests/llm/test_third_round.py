@@ -92,7 +92,9 @@ def read_back(archives, folder):
     return files, sorted((tuple(r) for r in found.select(warc.page_of("id"), "payload_bytes", "payload_digest", "type", warc.page_of("refers_to")).collect()), key=repr), found
 
 
-def test_pages_survive_the_archives(spark, tmp_path):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_pages_survive_the_archives(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(warc, "SMALL", small)
     frame = spark.createDataFrame([(*p, "x", "y") for p in PAGES], "page_id long, url string, html string, path string, digest string").repartition(3)
     written = warc.write_archives(frame, f"{tmp_path}/whole")
     files, got, found = read_back(written, f"{tmp_path}/members")
@@ -169,6 +171,7 @@ def test_audit_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(source_audit, "BLOCK", block)
     monkeypatch.setattr(source_audit, "SOURCES", block)
     monkeypatch.setattr(source_audit, "HELD", 2)
+    monkeypatch.setattr(source_audit, "HELD_TERMS", 20 if block == 2 else 10**6)
     draw = random.Random(3)
     words = [f"w{chr(97 + k)}" for k in range(20)] + ["Äb", "äb", "ÄB", "naïve", "日本"]
     docs = [(" ".join(draw.choices(words[: 5 + k % 20], k=draw.randrange(12))), f"l{k % 2}", f"s{draw.randrange(7)}") for k in range(150)]
@@ -179,3 +182,40 @@ def test_audit_equals_brute_force(spark, monkeypatch, block):
     got = [tuple(r) for r in source_audit.audit_sources(frame, least=3, top=4).collect()]
     assert set(got) == brute_audit(docs, 3, 4) and len(got) == len(set(got))
     assert source_audit.audit_sources(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids_equal_whole_texts(monkeypatch, name):
+    """Every character of the lower planes between letters, contractions, runs of signs, special tokens, other vocabularies."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from prismill.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    path = public_tokenizers.path(name)
+    known, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    signs = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x1F300, 0x1F700)]
+    texts = ["", " ", "it's we'll THEY'RE 'd '' 'tis", 'a."b".. c?! d,e 12ab3', "<|endoftext|> a", "x<|y", "ΑΣ ΣΑΣ. İi", "é É́", "don''t"]
+    texts += [" ".join(f"a{c}B 1{c}, {c}{c}" for c in signs[k : k + 300]) for k in range(0, len(signs), 300)]
+    got = [ids.tolist() for k in range(0, len(texts), 40) for ids in known.encode(texts[k : k + 40], 2)]
+    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_entries_of_equal_weight_count_apart():
+    from prismill.llm.toxicity import Lexicon
+
+    for weights in ({"alpha": 2.0, "bravo": 2.0}, {"alpha": 2.0, "bravo": 2.0000001}):
+        model = Lexicon(weights)
+        assert abs(model.evidence(model.automaton(), "alpha bravo") - 4.0 / np.log2(2 + 2 / model.half_length)) < 1e-4
+
+
+def test_a_mix_takes_each_source_on_its_own(spark):
+    from prismill.llm.mixing import apply_mix, mix
+
+    rows = [(1, "the same text", "x"), (1, "the same text", "y")] + [(k, "some other words " * (k % 7), "x" if k % 5 else "y") for k in range(2, 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(r.doc_id, r.source): r.copies for r in mix(frame).collect() if r.copies}
+    for parts in (1, 7):
+        got = apply_mix(frame.repartition(parts)).groupBy("doc_id", "source").count().collect()
+        assert {(r.doc_id, r.source): r["count"] for r in got} == want
