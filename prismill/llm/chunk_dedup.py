@@ -103,7 +103,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for name, parts in zip(batch.column("id").to_pylist(), batch.column("parts").to_pylist()):
-                n, dropped, spans, holders, k = 0, 0, [], set(), 0
+                n, dropped, spans, holders, k = 0, 0, [], {}, 0
                 while k < len(parts):
                     j = k + 1
                     while j < len(parts) and parts[j]["start"] <= parts[j - 1]["start"] + parts[j - 1]["size"]:
@@ -116,13 +116,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         if p["first"] == name:
                             continue
                         dropped += 1
-                        holders.add(p["first"])
+                        holders[tuple(p["first"].values()) if isinstance(p["first"], dict) else p["first"]] = p["first"]
                         if spans and spans[-1][1] == p["start"]:
                             spans[-1][1] += p["size"]
                         else:
                             spans.append([p["start"], p["start"] + p["size"]])
                 if n:
-                    for column, value in zip(out, (name, n, dropped, spans, sorted(holders))):
+                    for column, value in zip(out, (name, n, dropped, spans, [holders[h] for h in sorted(holders)])):
                         column.append(value)
             kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(batch.schema.field("id").type)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "n_shared", "n_dropped", "spans", "holders"])
@@ -132,10 +132,16 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = RUN) -> DataFrame:
-    """(id_col, text_col) of each row without the passages that shared_passages drops. Null texts become ""."""
+    """(id_col, text_col) of each row without the passages that shared_passages drops. Null texts become "".
+
+    Rows that repeat an id with different texts are documents of their own here, in the order of a hash of their texts; rows
+    that repeat id and text are one and keep or lose the same. Rows without an id stay as they are.
+    """
     require(docs, id_col, text_col)
-    gone = shared_passages(docs, id_col, text_col, least_run).select(id_col, "spans")
-    joined = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col)).join(gone, id_col, "left")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias(id_col), text.alias(text_col), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("__row"))
+    gone = shared_passages(rows.where(F.col(id_col).isNotNull()).select("__row", text_col), "__row", text_col, least_run).select("__row", "spans")
+    joined = rows.join(gone, "__row", "left").select(id_col, text_col, "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

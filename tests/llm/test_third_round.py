@@ -219,3 +219,17 @@ def test_a_mix_takes_each_source_on_its_own(spark):
     for parts in (1, 7):
         got = apply_mix(frame.repartition(parts)).groupBy("doc_id", "source").count().collect()
         assert {(r.doc_id, r.source): r["count"] for r in got} == want
+
+
+def test_passages_are_cut_from_the_row_that_has_them(spark):
+    from prismill.llm.chunk_dedup import drop_passages
+
+    draw = random.Random(21)
+    prose = lambda n: " ".join("".join(draw.choices("abcdefghijklmnop", k=draw.randrange(3, 9))) for _ in range(n))
+    passage, own, other = prose(400), prose(200), prose(300)
+    rows = [(1, passage), (2, own + " " + passage + " " + prose(100)), (2, other), (2, other), (3, None), (None, passage), (4, "")]
+    got = drop_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = sorted((r.doc_id or 0, r.text) for r in got)
+    assert (1, passage) in texts and (0, passage) in texts and (3, "") in texts and (4, "") in texts and texts.count((2, other)) == 2
+    cut = [t for k, t in texts if k == 2 and t != other]
+    assert len(texts) == 7 and len(cut) == 1 and len(cut[0]) < len(own) + 1500 and cut[0].startswith(own[: len(own) - 300])
