@@ -643,13 +643,57 @@ def standard_spelling(t: Tables) -> DataFrame:
     return together.select(F.lower(F.trim("p_name")).alias("p_name"), "n")
 
 
-@named("standard_categories")
-def standard_categories(t: Tables) -> DataFrame:
-    """Part names with misspelt variants (a doubled letter in every seventh, upper case in every fifth row) brought together."""
-    name = F.col("p_name")
+def grouped_spellings_sql(values: str, column: str, threshold: float) -> str:
+    """The grouping by its definition: matching blocks by halving around the longest common piece, then one text after the other."""
+    return f"""WITH RECURSIVE shown AS ({values}),
+counts AS (SELECT {column} AS v, COUNT(*) AS n FROM shown GROUP BY ALL),
+best AS (SELECT lower(trim(v)) AS form, v, n, ROW_NUMBER() OVER (PARTITION BY lower(trim(v)) ORDER BY n DESC, v) AS k FROM counts),
+ranked AS (SELECT form, v, ROW_NUMBER() OVER (ORDER BY n DESC, v) AS r FROM best WHERE k = 1),
+pieces AS (
+SELECT a.r AS l, b.r AS x, a.form AS sa, b.form AS sb, 0::BIGINT AS taken, 0 AS side FROM ranked a JOIN ranked b ON a.r < b.r
+UNION ALL
+SELECT l, x, CASE side WHEN 1 THEN left(sa, -hit.i - 1) WHEN 2 THEN substr(sa, -hit.i + hit.k) END, CASE side WHEN 1 THEN left(sb, -hit.j - 1) WHEN 2 THEN substr(sb, -hit.j + hit.k) END,
+CASE WHEN side = 1 THEN hit.k ELSE 0 END, side FROM (
+SELECT l, x, sa, sb, list_max(flatten(list_transform(range(1, length(sa) + 1), lambda i: list_transform(range(1, length(sb) + 1), lambda j:
+struct_pack(k := len(list_filter(range(1, least(length(sa) - i, length(sb) - j) + 2), lambda k: substr(sa, i, k) = substr(sb, j, k))), i := -i, j := -j))))) AS hit
+FROM pieces WHERE sa <> '' AND sb <> ''), (VALUES (1), (2)) AS sides(side) WHERE hit.k > 0),
+near AS (SELECT p.x, list(p.l) AS ls FROM (SELECT l, x, SUM(taken) AS m FROM pieces GROUP BY l, x) p JOIN ranked a ON a.r = p.l JOIN ranked b ON b.r = p.x
+WHERE 2 * m >= {threshold} * (length(a.form) + length(b.form)) GROUP BY p.x),
+steps AS (
+SELECT 0::BIGINT AS r, []::BIGINT[] AS leaders
+UNION ALL
+SELECT s.r + 1, CASE WHEN list_has_any(s.leaders, coalesce(n.ls, [])) THEN s.leaders ELSE list_append(s.leaders, s.r + 1) END
+FROM steps s JOIN ranked o ON o.r = s.r + 1 LEFT JOIN near n ON n.x = o.r),
+chosen AS (SELECT o.form, coalesce(list_min(list_intersect(s.leaders, n.ls)), o.r) AS lead FROM ranked o LEFT JOIN near n ON n.x = o.r, (SELECT leaders FROM steps ORDER BY r DESC LIMIT 1) s)
+SELECT o.v AS {column}, COUNT(*) AS n FROM shown JOIN chosen c ON c.form = lower(trim({column})) JOIN ranked o ON o.r = c.lead GROUP BY ALL"""
+
+
+MISSPELT_SQL = "SELECT CASE WHEN p_partkey % 7 = 0 THEN {c} || right({c}, 1) WHEN p_partkey % 5 = 0 THEN upper({c}) ELSE {c} END AS {c} FROM part"
+
+
+def misspelt(t: Tables, column: str) -> DataFrame:
+    """A doubled letter in every seventh, upper case in every fifth row."""
+    name = F.col(column)
     variant = F.when(F.col("p_partkey") % 7 == 0, F.concat(name, F.substring(name, -1, 1))).when(F.col("p_partkey") % 5 == 0, F.upper(name)).otherwise(name)
-    rows = t.part.select("p_partkey", variant.alias("p_name"))
-    return fuzzy.standardize(rows, "p_name", 0.9).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    return t.part.select("p_partkey", variant.alias(column))
+
+
+@named("standard_categories", grouped_spellings_sql(MISSPELT_SQL.format(c="p_name"), "p_name", 0.9))
+def standard_categories(t: Tables) -> DataFrame:
+    """Part names with misspelt variants brought together."""
+    return fuzzy.standardize(misspelt(t, "p_name"), "p_name", 0.9).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@named("standard_names", grouped_spellings_sql(MISSPELT_SQL.format(c="p_name"), "p_name", 0.8))
+def standard_names(t: Tables) -> DataFrame:
+    """The same at the usual threshold, at which some different names are near each other too."""
+    return fuzzy.standardize(misspelt(t, "p_name"), "p_name").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@named("standard_brands", grouped_spellings_sql(MISSPELT_SQL.format(c="p_brand"), "p_brand", 0.8))
+def standard_brands(t: Tables) -> DataFrame:
+    """Brands differ in one or two signs, so the leaders decide who belongs together."""
+    return fuzzy.standardize(misspelt(t, "p_brand"), "p_brand").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 @named("missing_contract_columns", "SELECT 'absent' AS column_name, COUNT(*) AS n_rows FROM customer")

@@ -1,5 +1,8 @@
 """Cleaning semantics on small frames with known results."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,10 +102,11 @@ def greedy(counts, threshold):
     """The grouping by its definition: one value after the other against all leaders."""
     leaders, mapping = [], {}
     for value, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0])):
-        i = fuzzy.earliest_match(value.strip().lower(), [x.strip().lower() for x in leaders], threshold)
-        if i is None:
+        form = value.strip().lower()
+        near = [x for x in leaders if SequenceMatcher(None, x.strip().lower(), form).ratio() >= threshold]
+        if not near:
             leaders.append(value)
-        mapping[value] = leaders[i] if i is not None else value
+        mapping[value] = near[0] if near else value
     return mapping
 
 
@@ -118,6 +122,35 @@ def test_fuzzy_groups_for_any_batch(spark, batch):
     assert replaced.count() == rows.count() and replaced.where("x IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.67, 0.8, 0.93, 1.0])
+def test_fuzzy_groups_miss_no_candidate(spark, threshold):
+    """Random texts over few letters, of any length from none, with near copies and a word that all share."""
+    rng = random.Random(int(threshold * 100))
+    words = {""}
+    while len(words) < 150:
+        word = "".join(rng.choices("abcdé ", [5, 3, 2, 2, 1, 1], k=rng.choice([1, 2, 3, 4, 5, 7, 9, 14]))).strip()
+        words |= {word, word[::-1], word + rng.choice("abx"), "common " + word}
+    counts = {w: rng.randint(1, 4) for w in sorted(words)}
+    rows = spark.createDataFrame([(w,) for w, n in counts.items() for _ in range(n)], "x string")
+    got = {r["value"]: r["canonical"] for r in fuzzy.fit_groups(rows, "x", threshold, 3).collect()}
+    assert got == greedy(counts, threshold)
+
+
+def test_fuzzy_large_family_is_not_paired(spark, monkeypatch):
+    """A family of 3 000 near copies is compared with its leader; blocks of many texts are split."""
+    monkeypatch.setattr(fuzzy, "PART", 100)
+    rows = spark.range(3000).select(F.concat(F.lit("a rather long common category name "), F.col("id").cast("string")).alias("x"))
+    groups = fuzzy.fit_groups(rows, "x").groupBy("canonical").count().collect()
+    assert [tuple(r) for r in groups] == [("a rather long common category name 0", 3000)]
+
+
+def test_fuzzy_empty_column(spark):
+    rows = spark.createDataFrame([(None,), (None,)], "x string")
+    assert fuzzy.fit_groups(rows, "x").count() == 0 and fuzzy.standardize(rows, "x").count() == 2
+    with pytest.raises(ValueError):
+        fuzzy.fit_groups(rows, "x", 0.0)
+
+
 def test_md5_bucket_equals_the_whole_number(spark):
     import hashlib
 
