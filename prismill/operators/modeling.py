@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -26,11 +27,12 @@ from pyspark.ml.feature import (
     StringIndexer,
     TargetEncoder,
     VectorAssembler,
+    VectorSizeHint,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from prismill.functions.numbers import numeric_columns, string_columns
 from prismill.operators import metrics
@@ -39,6 +41,7 @@ from prismill.operators.neighbours import nearest
 from prismill.operators.preparation import folds, mutual_information, scaler_choice, split
 from prismill.operators.profiling import distinct_counts
 from prismill.operators.shapes import missing_columns
+from prismill.operators.stages import ClassShares, Frequencies, Powers
 
 LABEL, FEATURES = "label", "features"
 
@@ -63,7 +66,10 @@ def classifiers(seed: int = 42, classes: int = 2) -> dict[str, Callable[[], Esti
         "LogisticRegression": lambda: LogisticRegression(maxIter=100, regParam=1e-3, tol=1e-4, **io),
         "SVM_Linear": many(lambda: LinearSVC(maxIter=50, regParam=1e-3, tol=1e-4, **io)),
         "GaussianNB": lambda: NaiveBayes(modelType="gaussian", **io),
-        "MultinomialNB": lambda: NaiveBayes(modelType="multinomial", **io),
+        # Its features are counts: none may be negative.
+        "MultinomialNB": lambda: Pipeline(
+            stages=[MinMaxScaler(inputCol=FEATURES, outputCol="__counts"), NaiveBayes(modelType="multinomial", labelCol=LABEL, featuresCol="__counts")]
+        ),
     }
 
 
@@ -124,13 +130,18 @@ def plan_features(df: DataFrame, target: str, skip: Sequence[str] = ()) -> Featu
     return FeaturePlan(numeric, {c: encoding_method(sizes.get(c, 0), True) for c in text}, scaler)
 
 
-def preprocessing_stages(plan: FeaturePlan, task: str) -> list:
-    """Imputation, encoding, assembly and scaling as pipeline stages, so that scoring needs nothing else."""
+def preprocessing_stages(plan: FeaturePlan, task: str, classes: int = 0) -> list:
+    """Imputation, encoding, assembly and scaling as pipeline stages, so that scoring needs nothing else.
+
+    `task` is "binary" for two classes. A target code is the mean of the target, with more classes the share of each.
+    """
     stages: list = []
     blocks: list[str] = []
     if plan.numeric:
         filled = [f"{c}__filled" for c in plan.numeric]
         stages.append(Imputer(strategy="median", inputCols=plan.numeric, outputCols=filled))
+        if plan.scaler == "yeo_johnson":
+            stages.append(Powers(inputCols=filled))
         stages.append(VectorAssembler(inputCols=filled, outputCol="__numbers", handleInvalid="keep"))
         scalers = {
             "minmax": lambda: MinMaxScaler(inputCol="__numbers", outputCol="__scaled"),
@@ -141,20 +152,28 @@ def preprocessing_stages(plan: FeaturePlan, task: str) -> list:
         blocks.append("__scaled")
     few = [c for c, m in plan.categorical.items() if m == "one_hot"]
     some = [c for c, m in plan.categorical.items() if m == "target"]
-    many = [c for c, m in plan.categorical.items() if m in ("hash", "frequency")]
-    if few or some:
-        stages.append(StringIndexer(inputCols=few + some, outputCols=[f"{c}__index" for c in few + some], handleInvalid="keep"))
+    means = some if task != "classification" else []
+    if few or means:
+        stages.append(StringIndexer(inputCols=few + means, outputCols=[f"{c}__index" for c in few + means], handleInvalid="keep"))
     if few:
         stages.append(OneHotEncoder(inputCols=[f"{c}__index" for c in few], outputCols=[f"{c}__hot" for c in few], handleInvalid="keep"))
         blocks += [f"{c}__hot" for c in few]
-    if some:
+    if means:
         kind = "binary" if task == "binary" else "continuous"
         stages.append(
-            TargetEncoder(inputCols=[f"{c}__index" for c in some], outputCols=[f"{c}__mean" for c in some], labelCol=LABEL, targetType=kind, handleInvalid="keep")
+            TargetEncoder(inputCols=[f"{c}__index" for c in means], outputCols=[f"{c}__mean" for c in means], labelCol=LABEL, targetType=kind, handleInvalid="keep")
         )
-        blocks += [f"{c}__mean" for c in some]
-    if many:
-        stages.append(FeatureHasher(inputCols=many, outputCol="__hashed", numFeatures=256))
+        blocks += [f"{c}__mean" for c in means]
+    for c in some if not means else []:
+        stages.append(ClassShares(inputCol=c, outputCol=f"{c}__shares", labelCol=LABEL, classes=classes))
+        stages.append(VectorSizeHint(inputCol=f"{c}__shares", size=classes, handleInvalid="optimistic"))
+        blocks.append(f"{c}__shares")
+    for c in (c for c, m in plan.categorical.items() if m == "frequency"):
+        stages.append(Frequencies(inputCol=c, outputCol=f"{c}__frequency"))
+        blocks.append(f"{c}__frequency")
+    hashed = [c for c, m in plan.categorical.items() if m == "hash"]
+    if hashed:
+        stages.append(FeatureHasher(inputCols=hashed, outputCol="__hashed", numFeatures=256))
         blocks.append("__hashed")
     if not blocks:
         raise TrainingError("no feature columns")
@@ -202,34 +221,56 @@ def _evaluator(task: str):
     return RegressionEvaluator(labelCol=LABEL, metricName="r2")
 
 
-def cross_validated(rows: DataFrame, estimator: Estimator, task: str, fold: str, time_ordered: bool = False, parallelism: int = 4):
-    """(mean score over the folds of a fold column, model fitted on all rows). Time folds train on all earlier folds only."""
-    if time_ordered:
-        last = rows.agg(F.max(fold)).first()[0]
-        scores = []
-        for i in range(1, last + 1):
-            model = estimator.fit(rows.where(F.col(fold) < i))
-            scores.append(_evaluator(task).evaluate(model.transform(rows.where(F.col(fold) == i))))
-        return sum(scores) / len(scores), estimator.fit(rows)
-    k = rows.agg(F.max(fold)).first()[0] + 1
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=_evaluator(task), numFolds=k, foldCol=fold, parallelism=parallelism
-    )
-    fitted = validator.fit(rows)
-    return fitted.avgMetrics[0], fitted.bestModel
+def fold_parts(rows: DataFrame, fold: str, time_ordered: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(training rows, held-out rows) of each fold of a fold column. Time folds train on all earlier folds only."""
+    for i in range(1 if time_ordered else 0, rows.agg(F.max(fold)).first()[0] + 1):
+        yield rows.where(F.col(fold) < i if time_ordered else F.col(fold) != i), rows.where(F.col(fold) == i)
 
 
-def train_models(train: DataFrame, test: DataFrame, estimators: dict[str, Callable[[], Estimator]], task: str, fold: str, time_ordered: bool = False):
-    """({name: fitted model}, [(name, cv_score, test_score, error)]) on frames with `features` and `label`."""
-    fitted, rows = {}, []
-    for name, make in estimators.items():
-        try:
-            cv, model = cross_validated(train, make(), task, fold, time_ordered)
-            fitted[name] = model
-            rows.append((name, float(cv), float(_evaluator(task).evaluate(model.transform(test))), None))
-        except Exception as error:  # noqa: BLE001 - one model that cannot learn from this data must not stop the others
-            rows.append((name, None, None, f"{type(error).__name__}: {error}"))
-    return fitted, rows
+def train_models(
+    train: DataFrame,
+    test: DataFrame,
+    prepare: Pipeline,
+    estimators: dict[str, Callable[[], Estimator]],
+    task: str,
+    fold: str,
+    time_ordered: bool = False,
+    parallelism: int = 4,
+):
+    """(preparation fitted on all training rows, {name: model fitted on them}, [(name, cv_score, test_score, error)]).
+
+    The preparation is fitted anew on the training part of every fold, so that no code, bound or mean of a fold
+    has seen the rows it is scored on; the models share it. A model that cannot learn from the data is reported
+    and does not stop the others.
+    """
+    scores: dict[str, list[float]] = {name: [] for name in estimators}
+    errors: dict[str, str] = {}
+
+    def learned(fitted: PipelineModel, part: DataFrame, held: DataFrame) -> dict[str, tuple[Model, float]]:
+        ready = [sized(fitted.transform(rows).select(LABEL, FEATURES), rows.count()).persist() for rows in (part, held)]
+
+        def one(name: str):
+            try:
+                model = estimators[name]().fit(ready[0])
+                return model, float(_evaluator(task).evaluate(model.transform(ready[1])))
+            except Exception as error:  # noqa: BLE001
+                errors[name] = f"{type(error).__name__}: {error}"
+                return None
+
+        names = [name for name in estimators if name not in errors]
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = dict(zip(names, pool.map(inheritable_thread_target(train.sparkSession)(one), names)))
+        for rows in ready:
+            rows.unpersist()
+        return {name: result for name, result in found.items() if result is not None}
+
+    for part, held in fold_parts(train, fold, time_ordered):
+        for name, (_, score) in learned(prepare.fit(part), part, held).items():
+            scores[name].append(score)
+    prepared = prepare.fit(train)
+    final = learned(prepared, train, test)
+    rows = [(name, sum(scores[name]) / len(scores[name]), final[name][1], None) if name in final else (name, None, None, errors[name]) for name in estimators]
+    return prepared, {name: model for name, (model, _) in final.items()}, rows
 
 
 def sized(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
@@ -269,16 +310,15 @@ def run_training(
         index = F.col(target)
     kind = "binary" if len(classes) == 2 else task
     labelled = lambda rows: rows.withColumn(LABEL, index.cast("double"))
-    prepare = Pipeline(stages=preprocessing_stages(plan, kind)).fit(labelled(train_rows))
+    prepare = Pipeline(stages=preprocessing_stages(plan, kind, len(classes)))
     fold_kind = "time" if date else "group" if group and strategy == "group_based" else "stratified" if task == "classification" else "random"
     numbered = folds(train_rows, fold_kind, key, k, target, date, group, seed)
-    n_train, n_test = numbered.count(), test_rows.count()
-    train = sized(prepare.transform(labelled(numbered)).select(key, LABEL, "fold", FEATURES), n_train).persist()
-    test = sized(prepare.transform(labelled(test_rows)).select(key, LABEL, FEATURES), n_test).persist()
+    train, test = (labelled(rows).select(*inputs, LABEL, *extra).persist() for rows, extra in ((numbered, ["fold"]), (test_rows, [])))
+    n_train, n_test = train.count(), test.count()
     tier, chosen = model_tier(n_train + n_test, task, any(m in ("hash", "frequency") for m in plan.categorical.values()))
     known = classifiers(seed, len(classes)) if task == "classification" else regressors(seed)
     wanted = {name: known[name] for name in trainable(models or chosen) if name in known}
-    fitted, rows = train_models(train, test, wanted, task, "fold", fold_kind == "time")
+    prepared, fitted, rows = train_models(train, test, prepare, wanted, task, "fold", fold_kind == "time")
     scored = [r for r in rows if r[1] is not None]
     if not scored:
         raise TrainingError(f"no model could be trained: {rows}")
@@ -296,7 +336,7 @@ def run_training(
         ],
         "stage string, detail string, size bigint",
     )
-    best = PipelineModel(stages=[*prepare.stages, fitted[best_name]])
+    best = PipelineModel(stages=[*prepared.stages, fitted[best_name]])
     train.unpersist()
     test.unpersist()
     return Training(task, tier, classes, results, best_name, best, inputs, stages, train_rows, test_rows)

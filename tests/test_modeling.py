@@ -4,6 +4,7 @@ import functools
 import random
 
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from prismill.operators import modeling, neighbours, preparation
@@ -160,3 +161,32 @@ def test_power_of_a_normal_column_is_near_one(spark):
     rows = spark.createDataFrame([(draw.gauss(0, 1), draw.lognormvariate(0, 1)) for _ in range(3000)], "n double, l double")
     powers = preparation.fit_powers(rows, ["n", "l"])
     assert abs(powers["n"] - 1) < 0.1 and powers["l"] < 0
+
+
+def test_own_stages_save_and_do_what_they_say(spark, tmp_path):
+    """Skewed numbers get powers, wide columns frequencies, three classes shares; a loaded package scores the same."""
+    rows = [(i, float(2 ** (i % 9)), f"v{i % 1200}" if i % 4 else "often", "abcdef"[i % 6] * 2, float(i % 3)) for i in range(2400)]
+    df = spark.createDataFrame(rows, "id long, x double, wide string, some string, label double")
+    plan = modeling.FeaturePlan(["x"], {"wide": "frequency", "some": "target"}, "yeo_johnson")
+    fitted = Pipeline(stages=modeling.preprocessing_stages(plan, "classification", 3)).fit(df)
+    kinds = [type(s).__name__ for s in fitted.stages]
+    assert "PowersModel" in kinds and kinds.count("CodesModel") == 2
+    fitted.write().save(f"{tmp_path}/model")
+    loaded = PipelineModel.load(f"{tmp_path}/model")
+    new = spark.createDataFrame([(0, 4.0, "often", "aa"), (1, None, "never seen", "zz"), (2, 1.0, None, None)], "id long, x double, wide string, some string")
+    a, b = ([r for r in m.transform(new).orderBy("id").select("wide__frequency", "some__shares", "features").collect()] for m in (fitted, loaded))
+    assert a == b and [r["wide__frequency"] for r in a] == [0.25, 0.0, 0.0]
+    assert list(a[0]["some__shares"]) == [1.0, 0.0, 0.0]
+    assert list(a[1]["some__shares"]) == list(a[2]["some__shares"]) == pytest.approx([1 / 3] * 3)
+    power = preparation.fit_powers(df, ["x"])["x"]
+    assert fitted.stages[1].getOrDefault("powers") == [power] and abs(power) < 1
+
+
+def test_codes_of_a_fold_have_not_seen_its_rows(spark):
+    """A random column of 45 values says nothing of a random target: codes fitted before the folds would seem to."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, f"c{rng.randrange(45)}", rng.choice(["no", "yes"])) for i in range(400)], "id long, c string, y string")
+    trained = modeling.run_training(df, "y", "id", "classification", models=["DecisionTree", "MultinomialNB"], k=4)
+    found = {r["model"]: r for r in trained.results.collect()}
+    assert found["DecisionTree"]["cv_score"] < 0.58
+    assert found["MultinomialNB"]["error"] is None
