@@ -245,14 +245,16 @@ def train_models(
     """
     scores: dict[str, list[float]] = {name: [] for name in estimators}
     errors: dict[str, str] = {}
+    n_rows = train.count()
 
     def learned(fitted: PipelineModel, part: DataFrame, held: DataFrame) -> dict[str, tuple[Model, float]]:
-        ready = [sized(fitted.transform(rows).select(LABEL, FEATURES), rows.count()).persist() for rows in (part, held)]
+        ready = sized(fitted.transform(part).select(LABEL, FEATURES), n_rows).persist()
+        unseen = fitted.transform(held).select(LABEL, FEATURES)
 
         def one(name: str):
             try:
-                model = estimators[name]().fit(ready[0])
-                return model, float(_evaluator(task).evaluate(model.transform(ready[1])))
+                model = estimators[name]().fit(ready)
+                return model, float(_evaluator(task).evaluate(model.transform(unseen)))
             except Exception as error:  # noqa: BLE001
                 errors[name] = f"{type(error).__name__}: {error}"
                 return None
@@ -260,8 +262,7 @@ def train_models(
         names = [name for name in estimators if name not in errors]
         with ThreadPoolExecutor(parallelism) as pool:
             found = dict(zip(names, pool.map(inheritable_thread_target(train.sparkSession)(one), names)))
-        for rows in ready:
-            rows.unpersist()
+        ready.unpersist()
         return {name: result for name, result in found.items() if result is not None}
 
     for part, held in fold_parts(train, fold, time_ordered):
