@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismill.functions.keys import prompt_key
 from prismill.functions.numbers import percent
 from prismill.operators.cleaning import WHITE
 from prismill.operators.metrics import rating as points_rating
-from prismill.operators.ordered import carry
+from prismill.operators.ordered import SLICE, carry, sliced
 from prismill.operators.quantiles import quantiles
 from prismill.session import durable
 
@@ -192,33 +194,112 @@ def inefficiencies(usage: DataFrame) -> DataFrame:
 # --- response cache ---------------------------------------------------------------------------------------
 
 
-def cache_entries(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+# A time behind all others, in microseconds.
+NEVER = (1 << 63) - 1
+
+
+def _ends(at: np.ndarray, life: int) -> np.ndarray:
+    """For an entry stored at each of the sorted times: the end of the last entry that follows from it."""
+    hop = np.searchsorted(at, at + life)
+    hop = np.where(hop < len(at), hop, np.arange(len(at)))
+    while not np.array_equal(hop, further := hop[hop]):
+        hop = further
+    return at[hop] + life
+
+
+def _stored(at: np.ndarray, life: int) -> np.ndarray:
+    """The sorted times at which a cache that is empty before the first one stores an entry."""
+    found, i = [], 0
+    while i < len(at):
+        found.append(at[i])
+        i = np.searchsorted(at, at[i] + life)
+    return np.array(found, dtype="int64")
+
+
+def _runs(rows: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+    """(key, sorted times) of each key of one slice."""
+    rows = rows.sort_values(["cache_key", "at"])
+    keys, at = rows["cache_key"].to_numpy(), rows["at"].to_numpy()
+    starts = [*np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))] if len(keys) else []
+    for start, end in zip(starts, [*starts[1:], len(keys)]):
+        yield keys[start], at[start:end]
+
+
+def cache_entries(requests: DataFrame, ttl_seconds: int, slices: int | None = None) -> DataFrame:
     """(cache_key, cached_at) of every entry a cache would have stored: the first request of a key, then the first
     one at or after the end of the entry before. A hit does not renew an entry.
 
-    The entries of a key form a chain over its request times. Each time gets a pointer to the first time at
-    least one lifetime later (values carried backwards over a global order). Marks then travel along the
-    pointers while the pointers double, so that a chain over n lifetimes takes log2(n) rounds of joins on
-    unique (key, time) pairs, whatever the share of one key. Input: model, prompt, requested_at.
+    The requests are cut into slices along (key, time). A slice is a function from the end of the entry it finds to
+    the end of the entry it leaves; the ends a slice can leave are few, as chains that meet stay together. Only keys
+    that reach over several slices need these functions: their ends are linked across slices, marks travel along the
+    links while the links double (log2 of the slices of one key, joins on distinct ends), and each slice then replays
+    its own requests once from where it is entered. A key with a third of all rows is spread like any other.
+    Input: model, prompt, requested_at; requests without a time are left out.
     """
-    life = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
-    times = requests.select(prompt_key(F.col("model"), F.col("prompt")).alias("cache_key"), F.col("requested_at").alias("at")).distinct()
-    events = times.select("cache_key", "at", F.lit(1).alias("kind"), F.col("at").alias("target"), F.lit(None).cast("timestamp_ntz").alias("source"))
-    asks = times.select("cache_key", (F.col("at") + life).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("target"), F.col("at").alias("source"))
-    found = carry(events.unionByName(asks), ["target"], ["at", "kind"], ["cache_key"], forward=False)
-    pointers = found.where("kind = 0").select("cache_key", F.col("source").alias("at"), F.col("target").alias("later"))
-    first = times.groupBy("cache_key").agg(F.min("at").alias("at"), F.lit(True).alias("marked"))
-    state = durable(pointers.join(first, ["cache_key", "at"], "left").select("cache_key", "at", "later", F.coalesce("marked", F.lit(False)).alias("marked")))
-    spans = state.groupBy("cache_key").agg(F.timestamp_diff("SECOND", F.min("at"), F.max("at")).alias("seconds"))
-    longest = spans.agg(F.max("seconds")).first()[0] or 0
-    for _ in range((longest // int(ttl_seconds)).bit_length()):
-        ahead = state.select("cache_key", F.col("at").alias("later"), F.col("later").alias("furthest"))
+    life = int(ttl_seconds) * 1_000_000
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("requested_at").cast("timestamp_ntz"))
+    times = requests.where(F.col("requested_at").isNotNull()).select(prompt_key(F.col("model"), F.col("prompt")).alias("cache_key"), micros.alias("at")).distinct()
+    rows = durable(sliced(times, ["at"], ["cache_key"], slices).withColumnRenamed(SLICE, "slice"))
+    # A slice has at most one key that began before it: these tables have at most two rows a slice.
+    reach = rows.groupBy("cache_key", "slice").agg(F.max("at").alias("until"))
+    spans = durable(reach.groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("slice", "until"))).alias("parts")).where(F.size("parts") > 1))
+    longest = spans.agg(F.max(F.size("parts"))).first()[0] or 0
+    entered = _slice_entries(rows, spans, life, longest) if longest else spans.select("cache_key", F.lit(0).alias("slice"), F.lit(0).cast("bigint").alias("start"))
+
+    def replay(own: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        # A group that only one side has comes as an empty frame without columns.
+        start = dict(zip(entered["cache_key"], entered["start"])) if len(entered) else {}
+        kept = [(key, _stored(at[at >= start.get(key, at[0])], life)) for key, at in _runs(own)]
+        keys = pd.Series([key for key, found in kept for _ in found], dtype=object)
+        return pd.DataFrame({"cache_key": keys, "at": np.concatenate([np.empty(0, "int64"), *[found for _, found in kept]])})
+
+    stored = rows.groupBy("slice").cogroup(entered.toDF("cache_key", "slice", "start").groupBy("slice")).applyInPandas(replay, "cache_key string, at bigint")
+    seconds = (F.col("at") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return stored.select("cache_key", (epoch + F.make_dt_interval(secs=seconds)).alias("cached_at"))
+
+
+def _slice_entries(rows: DataFrame, spans: DataFrame, life: int, longest: int) -> DataFrame:
+    """(cache_key, slice, start): for each later slice of a key the first request it stores; NEVER where an older entry outlives it."""
+    wide = rows.join(spans, "cache_key").select("cache_key", "at", "slice", (F.col("slice") == F.col("parts")[0]["slice"]).alias("opens"))
+
+    def leave(own: pd.DataFrame) -> pd.DataFrame:
+        opening = dict(zip(own["cache_key"], own["opens"]))
+        # The slice in which a key begins is entered in one way only.
+        ends = [(key, _ends(at, life)[:1] if opening[key] else np.unique(_ends(at, life))) for key, at in _runs(own)]
+        keys = [key for key, found in ends for _ in found]
+        columns = {"cache_key": keys, "free_at": np.concatenate([found for _, found in ends]), "marked": [opening[key] for key in keys]}
+        return pd.DataFrame(columns).astype({"cache_key": object}).assign(slice=own["slice"].iloc[0])
+
+    left = wide.groupBy("slice").applyInPandas(leave, "cache_key string, free_at bigint, marked boolean, slice int")
+    later = F.filter("parts", lambda p: (p["slice"] > F.col("slice")) & (p["until"] >= F.col("free_at")))
+    # The same end may be left by several slices; it is one place, the first of them decides where it is met.
+    aimed = left.join(spans, "cache_key").select("cache_key", "free_at", "marked", F.get(later, F.lit(0))["slice"].alias("slice"))
+    aimed = aimed.groupBy("cache_key", "free_at").agg(F.max("marked").alias("marked"), F.min("slice").alias("slice"))
+
+    def meet(own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for key, at in _runs(own) if len(ends) else ():
+            group = ends[ends["cache_key"] == key]
+            met = np.searchsorted(at, group["free_at"].to_numpy())
+            parts.append(group.assign(start=at[met], later=_ends(at, life)[met]) if len(met) else group.assign(start=0, later=0))
+        empty = {c: [] for c in ("cache_key", "free_at", "marked", "slice", "start", "later")}
+        return (pd.concat(parts) if parts else pd.DataFrame(empty)).astype({"cache_key": object})
+
+    shape = "cache_key string, free_at bigint, marked boolean, slice int, start bigint, later bigint"
+    aims = aimed.where(F.col("slice").isNotNull()).toDF("cache_key", "free_at", "marked", "slice")
+    links = durable(wide.groupBy("slice").cogroup(aims.groupBy("slice")).applyInPandas(meet, shape))
+    state = links.select("cache_key", "free_at", "later", "marked")
+    for _ in range((longest - 1).bit_length()):
+        ahead = state.select("cache_key", F.col("free_at").alias("later"), F.col("later").alias("furthest"))
         joined = state.join(ahead, ["cache_key", "later"], "left")
-        own = F.struct("at", F.col("furthest").alias("later"), "marked")
-        pushed = F.struct(F.col("later").alias("at"), F.lit(None).cast("timestamp_ntz").alias("later"), F.lit(True).alias("marked"))
+        own = F.struct("free_at", F.col("furthest").alias("later"), "marked")
+        pushed = F.struct(F.col("later").alias("free_at"), F.lit(None).cast("bigint").alias("later"), F.lit(True).alias("marked"))
         sent = joined.select("cache_key", F.explode(F.when(F.col("marked") & F.col("later").isNotNull(), F.array(own, pushed)).otherwise(F.array(own))).alias("m"))
-        state = durable(sent.select("cache_key", "m.*").groupBy("cache_key", "at").agg(F.max("later").alias("later"), F.max("marked").alias("marked")))
-    return state.where("marked").select("cache_key", F.col("at").alias("cached_at"))
+        state = durable(sent.select("cache_key", "m.*").groupBy("cache_key", "free_at").agg(F.max("later").alias("later"), F.max("marked").alias("marked")))
+    reached = links.join(state.where("marked").select("cache_key", "free_at"), ["cache_key", "free_at"], "left_semi").select("cache_key", "slice", "start")
+    others = spans.select("cache_key", F.explode("parts").alias("p"), F.col("parts")[0]["slice"].alias("first"))
+    return others.where(F.col("p.slice") > F.col("first")).select("cache_key", F.col("p.slice").alias("slice")).join(reached, ["cache_key", "slice"], "left").fillna({"start": NEVER})
 
 
 def cache_statistics(requests: DataFrame, ttl_seconds: int, cost_per_call: float = 0.0) -> DataFrame:

@@ -33,15 +33,22 @@ SCHEMA = "request_id bigint, model string, prompt string, requested_at timestamp
 
 
 @pytest.mark.parametrize("ttl", [37, 600, 50000])
-def test_cache_entries(spark, requests, ttl):
+@pytest.mark.parametrize("slices", [1, 64])
+def test_cache_entries(spark, requests, ttl, slices):
     entries, hits = replayed(requests, ttl)
     rows = spark.createDataFrame(requests, SCHEMA).repartition(4)
-    got = sorted(r["cached_at"] for r in logs.cache_entries(rows, ttl).collect())
+    got = sorted(r["cached_at"] for r in logs.cache_entries(rows, ttl, slices).collect())
     assert got == sorted(at for key in entries for at in entries[key])
     stats = logs.cache_statistics(rows, ttl, 0.5).first()
     assert (stats["n_hits"], stats["n_misses"]) == (sum(hits.values()), len(hits) - sum(hits.values()))
 
 
+def test_cache_entries_of_no_request(spark):
+    rows = spark.createDataFrame([(1, "m", "a", None)], SCHEMA)
+    assert logs.cache_entries(rows, 60).count() == 0
+    assert logs.cache_entries(rows.limit(0), 60).count() == 0
+
+
 def write_in_files(spark, rows, schema, folder, parts, order):
     """One file per slice of time, so that each micro-batch brings the next slice."""
     rows = sorted(rows, key=order)
