@@ -36,6 +36,7 @@ from pyspark.util import inheritable_thread_target
 
 from prismill.functions.numbers import numeric_columns, string_columns
 from prismill.operators import metrics
+from prismill.operators.boosting import AdaBoostClassifier, AdaBoostRegressor
 from prismill.operators.features import encoding_method
 from prismill.operators.neighbours import nearest
 from prismill.operators.preparation import folds, mutual_information, scaler_choice, split
@@ -63,6 +64,7 @@ def classifiers(seed: int = 42, classes: int = 2) -> dict[str, Callable[[], Esti
         "RandomForest": lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **io),
         "DecisionTree": lambda: DecisionTreeClassifier(maxDepth=8, seed=seed, **io),
         "GradientBoosting": many(lambda: GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **io)),
+        "AdaBoost": lambda: AdaBoostClassifier(maxIter=20, seed=seed, classes=max(2, classes), **io),
         "LogisticRegression": lambda: LogisticRegression(maxIter=100, regParam=1e-3, tol=1e-4, **io),
         "SVM_Linear": many(lambda: LinearSVC(maxIter=50, regParam=1e-3, tol=1e-4, **io)),
         "GaussianNB": lambda: NaiveBayes(modelType="gaussian", **io),
@@ -79,6 +81,7 @@ def regressors(seed: int = 42) -> dict[str, Callable[[], Estimator]]:
         "RandomForest": lambda: RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed, **io),
         "DecisionTree": lambda: DecisionTreeRegressor(maxDepth=8, seed=seed, **io),
         "GradientBoosting": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=seed, **io),
+        "AdaBoost": lambda: AdaBoostRegressor(maxIter=20, seed=seed, **io),
         "LinearRegression": lambda: LinearRegression(**io),
         "Ridge": lambda: LinearRegression(elasticNetParam=0.0, regParam=0.1, **io),
         "Lasso": lambda: LinearRegression(elasticNetParam=1.0, regParam=0.1, **io),
@@ -185,8 +188,8 @@ def select_features(df: DataFrame, columns: Sequence[str], target: str, task: st
     """All columns up to `most`; above, the best by mutual information, or by forest importance beyond 50."""
     if len(columns) <= most:
         return list(columns)
-    if len(columns) <= 50 and task == "classification":
-        ranked = mutual_information(df, columns, target).orderBy(F.col("mutual_information").desc(), "column_name").limit(most)
+    if len(columns) <= 50:
+        ranked = mutual_information(df, columns, target, target_bins=None if task == "classification" else 10).orderBy(F.col("mutual_information").desc(), "column_name").limit(most)
         return [r["column_name"] for r in ranked.collect()]
     label = StringIndexer(inputCol=target, outputCol=LABEL, handleInvalid="skip") if task == "classification" else None
     rows = label.fit(df).transform(df) if label else df.withColumn(LABEL, F.col(target).cast("double"))

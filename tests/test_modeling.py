@@ -1,12 +1,17 @@
 """Training, scoring and packages on small frames."""
 
 import functools
+import math
 import random
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from prismill.operators.boosting import AdaBoostClassifier, AdaBoostRegressor, NoWeakLearnerError
 from prismill.operators import modeling, neighbours, preparation
 from prismill.sources import packages
 
@@ -190,3 +195,79 @@ def test_codes_of_a_fold_have_not_seen_its_rows(spark):
     found = {r["model"]: r for r in trained.results.collect()}
     assert found["DecisionTree"]["cv_score"] < 0.58
     assert found["MultinomialNB"]["error"] is None
+
+
+def boosted_by_hand(model, rows, classes, step=1.0):
+    """(error, say) of each round, from the model's own trees and plain weights."""
+    weights, found = {i: 1.0 for i, _, _ in rows}, []
+    for tree in model.trees:
+        guess = {i: tree.predict(x) for i, x, _ in rows}
+        error = sum(weights[i] for i, _, y in rows if guess[i] != y) / sum(weights.values())
+        say = step * (math.log((1 - error) / error) + math.log(classes - 1))
+        found.append((error, say))
+        weights = {i: weights[i] * (math.exp(say) if guess[i] != y else 1) for i, _, y in rows}
+    return found
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_adaboost_rounds_and_round_trip(spark, tmp_path, classes):
+    draw = random.Random(classes)
+    rows = [(i, Vectors.dense(draw.random(), draw.random())) for i in range(300)]
+    rows = [(i, x, float(int((x[0] + x[1]) / 2 * classes) if draw.random() > 0.1 else draw.randrange(classes))) for i, x in rows]
+    df = spark.createDataFrame(rows, ["id", "features", "label"]).repartition(3)
+    model = AdaBoostClassifier(maxIter=7, classes=classes).fit(df)
+    wanted = boosted_by_hand(model, rows, classes)
+    assert len(model.trees) > 2
+    assert list(zip(model.getOrDefault("errors"), model.getOrDefault("says"))) == [pytest.approx(pair) for pair in wanted]
+    scored = {r["id"]: (r["prediction"], r["probability"]) for r in model.transform(df).collect()}
+    for i, x, _ in rows:
+        votes = [sum(a for t, (_, a) in zip(model.trees, wanted) if t.predict(x) == c) for c in range(classes)]
+        assert votes[int(scored[i][0])] == pytest.approx(max(votes)) and sum(scored[i][1]) == pytest.approx(1)
+        assert scored[i][1][int(scored[i][0])] == pytest.approx(max(scored[i][1]))
+    one = DecisionTreeClassifier(maxDepth=1).fit(df).transform(df).where("prediction = label").count()
+    assert sum(scored[i][0] == y for i, _, y in rows) > one
+    Pipeline(stages=[model]).fit(df).save(f"{tmp_path}/p")
+    again = PipelineModel.load(f"{tmp_path}/p").transform(df).select("id", "prediction")
+    assert again.exceptAll(model.transform(df).select("id", "prediction")).count() == 0
+
+
+def test_adaboost_edges(spark):
+    sure = spark.createDataFrame([(Vectors.dense(float(i)), float(i > 4)) for i in range(10)], ["features", "label"])
+    model = AdaBoostClassifier().fit(sure)
+    assert len(model.trees) == 1 and model.transform(sure).where("prediction <> label").count() == 0
+    chance = spark.createDataFrame([(Vectors.dense(1.0), float(i % 2)) for i in range(10)], ["features", "label"])
+    with pytest.raises(NoWeakLearnerError):
+        AdaBoostClassifier().fit(chance)
+
+
+def test_adaboost_regression(spark):
+    draw = random.Random(3)
+    rows = [(Vectors.dense(x := draw.random(), draw.random()), math.sin(9 * x)) for _ in range(300)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    model = AdaBoostRegressor(maxIter=12).fit(df)
+    weights, says = [1.0] * len(rows), model.getOrDefault("says")
+    for tree, say in zip(model.trees, says):
+        misses = [abs(tree.predict(x) - y) for x, y in rows]
+        loss = sum(w * m for w, m in zip(weights, misses)) / sum(weights) / max(misses)
+        assert say == pytest.approx(math.log((1 - loss) / loss))
+        weights = [w * (loss / (1 - loss)) ** (1 - m / max(misses)) for w, m in zip(weights, misses)]
+
+    def error(scored):
+        return scored.agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+
+    assert error(model.transform(df)) < error(DecisionTreeRegressor(maxDepth=3).fit(df).transform(df))
+    got = model.transform(df.limit(1)).first()
+    ordered, total = sorted((t.predict(got["features"]), a) for t, a in zip(model.trees, says)), 0.0
+    for value, say in ordered:
+        total += say
+        if total >= sum(says) / 2:
+            break
+    assert got["prediction"] == pytest.approx(value)
+
+
+def test_mutual_information_of_numbers(spark):
+    draw = random.Random(9)
+    rows = [(x := draw.random(), draw.random(), (x - 0.5) ** 2 + draw.gauss(0, 0.01)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "x double, noise double, y double")
+    found = dict(preparation.mutual_information(df, ["x", "noise"], "y", 10, 10).collect())
+    assert found["x"] > 0.8 and found["noise"] < 0.01
