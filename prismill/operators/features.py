@@ -10,15 +10,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismill.functions.dates import epoch_seconds
 from prismill.functions.keys import md5_bucket
 from prismill.functions.numbers import numeric_columns, pearson, share, string_columns
+from prismill.operators.ordered import cumulate
 from prismill.operators.profiling import distinct_counts, per_column
 from prismill.operators.quantiles import fit_quantiles
 from prismill.operators.shapes import lookup
+from prismill.session import durable
 
+# Most columns that one column becomes.
+MOST_FLAGS = 1000
 # A word: two letters, digits or underscores or more, in any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -36,7 +41,7 @@ def encoding_method(cardinality: int, has_target: bool) -> str:
 
 @dataclass(frozen=True)
 class Encoder:
-    """How one column is encoded. `stats` is a frame (value, code) for target and frequency codes."""
+    """How one column is encoded. `stats` is a frame (value, code) for target, frequency and label codes and for vectors."""
 
     column: str
     method: str
@@ -55,18 +60,41 @@ class Encoder:
         if self.method == "hash":
             text = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
             return df.select(*kept, md5_bucket(text, self.buckets).alias(f"{c}_hash"))
-        if self.method == "label":
-            return df.select(*kept, F.array_position(F.array(*[F.lit(v) for v in self.categories]), F.col(c)).cast("int").alias(f"{c}_label"))
-        name = f"{c}_target_enc" if self.method == "target" else f"{c}_freq"
+        if self.method == "one_hot_vector":
+            return self._vectors(df, kept)
+        name = {"target": f"{c}_target_enc", "label": f"{c}_label"}.get(self.method, f"{c}_freq")
         default = None if self.default is None else F.lit(self.default)
         return lookup(df, self.stats.withColumnRenamed("value", c), c, "code", default, name).select(*kept, name)
 
 
+    def _vectors(self, df: DataFrame, kept: list[str]) -> DataFrame:
+        name, index = f"{self.column}_vec", f"__{self.column}_index"
+        found = lookup(df, self.stats.withColumnRenamed("value", self.column), self.column, "code", F.lit(1), index)
+        # The encoder leaves out the last slot: there go the first category, nulls and values that were not seen.
+        slot = F.when(F.col(index) > 1, F.col(index) - 2).otherwise(F.lit(self.cardinality - 1)).cast("double")
+        sized = found.select(*kept, slot.alias(index)).withMetadata(index, {"ml_attr": {"type": "nominal", "num_vals": max(2, self.cardinality)}})
+        return OneHotEncoder(inputCols=[index], outputCols=[name]).fit(sized).transform(sized).select(*kept, name)
+
+
+def dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the distinct values of a column, numbered from 1 in their order, as a stored table of any size."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    return durable(cumulate(values, ["value"], index="code").select("value", F.col("code").cast("int").alias("code")))
+
+
 def fit_encoder(df: DataFrame, column: str, method: str, target: str | None = None, cardinality: int | None = None) -> Encoder:
+    """Learn an encoding: one_hot (a column each, at most MOST_FLAGS values), one_hot_vector (one sparse vector, any number of
+    values), label (numbers from 1 in the order of the values), target, frequency or hash. Null has no label and no flag.
+    """
     present = df.where(F.col(column).isNotNull())
-    if method in ("one_hot", "label"):
-        categories = tuple(r[0] for r in present.select(column).distinct().orderBy(column).collect())
+    if method == "one_hot":
+        categories = tuple(sorted(r[0] for r in present.select(column).distinct().limit(MOST_FLAGS + 1).collect()))
+        if len(categories) > MOST_FLAGS:
+            raise ValueError(f"{column} has more than {MOST_FLAGS} values; use one_hot_vector")
         return Encoder(column, method, len(categories), categories)
+    if method in ("label", "one_hot_vector"):
+        stats = dictionary(df, column)
+        return Encoder(column, method, stats.count(), stats=stats)
     if method == "target":
         stats = present.groupBy(F.col(column).alias("value")).agg(F.avg(target).alias("code"))
         return Encoder(column, method, cardinality or 0, stats=stats, default=stats.agg(F.avg("code")).first()[0])

@@ -11,15 +11,25 @@ from prismill.functions.numbers import pearson
 from prismill.operators.ordered import cumulate
 
 
+def counted_values(df: DataFrame, columns: Sequence[str], **counts: Column) -> DataFrame:
+    """(column_name, value, counts...) of each distinct number of each column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select("*", F.explode(cells).alias("__cell")).where("__cell.value IS NOT NULL")
+    return long.groupBy(F.col("__cell.column_name").alias("column_name"), F.col("__cell.value").alias("value")).agg(*[c.alias(name) for name, c in counts.items()])
+
+
 def two_sample_distance(df: DataFrame, columns: Sequence[str], in_first: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance of each column between the rows where `in_first` holds and the others.
 
     Each distinct value is counted once per side; the cumulative shares run over range-partitioned values.
     Returns (column_name, n_first, n_second, distance, p_value).
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(in_first.alias("first"), F.explode(cells).alias("cell")).select("first", "cell.*").where("value IS NOT NULL")
-    counts = long.groupBy("column_name", "value").agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
+    sides = df.select(*columns, in_first.alias("__first"))
+    return distance_of_counts(counted_values(sides, columns, a=F.count_if("__first"), b=F.count_if(~F.col("__first"))))
+
+
+def distance_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from (column_name, value, a, b): how often each side has each value."""
     running = cumulate(counts, ["value"], ["column_name"], sums={"ca": F.col("a"), "cb": F.col("b")})
     totals = running.groupBy("column_name").agg(F.max("ca").alias("n_first"), F.max("cb").alias("n_second"))
     gap = F.abs(F.try_divide(F.col("ca").cast("double"), F.col("n_first")) - F.try_divide(F.col("cb").cast("double"), F.col("n_second")))

@@ -357,6 +357,13 @@ def label_encoding(t: Tables) -> DataFrame:
     return features.fit_encoder(rows, "o_orderpriority", "label").transform(rows)
 
 
+@named("label_encoding_wide", "SELECT c_custkey, CAST(DENSE_RANK() OVER (ORDER BY c_name) AS INTEGER) AS c_name_label FROM customer")
+def label_encoding_wide(t: Tables) -> DataFrame:
+    """A column with as many values as rows: the dictionary is a table."""
+    rows = t.customer.select("c_custkey", "c_name")
+    return features.fit_encoder(rows, "c_name", "label").transform(rows)
+
+
 @named(
     "encoding_policy",
     """WITH b AS (SELECT p_brand, AVG(p_retailprice) AS m FROM part GROUP BY p_brand)

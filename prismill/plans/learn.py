@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from prismill.operators import modeling
+from prismill.operators.boosting import AdaBoostClassifier
 from prismill.plans.quality import rounded
 from prismill.plans.registry import Tables, named
 from prismill.session import shared_folder
@@ -131,6 +133,42 @@ def package_catalogue(t: Tables) -> DataFrame:
     return listed.select("name", "task", "target", "saved_at", F.size("features").alias("n_features"), F.round(F.col("metrics")["r2"], 4).alias("r2"))
 
 
+def _boosting_sql(rounds: int) -> str:
+    """Rounds of weighted stumps: the split with the least Gini impurity, the error, the say, the new weights."""
+    parts = [
+        """w0 AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, CAST(left(o_orderpriority, 1) AS INTEGER) AS a,
+month(o_orderdate) AS b, year(o_orderdate) AS c, 1.0::DOUBLE AS w FROM orders)"""
+    ]
+    for r in range(rounds):
+        parts.append(
+            f"""v{r} AS (SELECT f, v, SUM(w) AS s, SUM(w * y) AS p FROM (SELECT unnest([1, 2, 3]) AS f, unnest([a, b, c]) AS v, w, y FROM w{r}) GROUP BY f, v),
+t{r} AS (SELECT f, v, SUM(s) OVER o AS ls, SUM(p) OVER o AS lp, SUM(s) OVER (PARTITION BY f) AS s, SUM(p) OVER (PARTITION BY f) AS p, MAX(v) OVER (PARTITION BY f) AS top FROM v{r}
+WINDOW o AS (PARTITION BY f ORDER BY v)),
+b{r} AS (SELECT * FROM t{r} WHERE v < top ORDER BY lp * (ls - lp) / ls + (p - lp) * (s - ls - p + lp) / (s - ls), f, v LIMIT 1),
+g{r} AS (SELECT w{r}.*, CASE WHEN [a, b, c][f] <= b{r}.v THEN CASE WHEN 2 * lp > ls THEN 1 ELSE 0 END ELSE CASE WHEN 2 * (p - lp) > s - ls THEN 1 ELSE 0 END END <> y AS wrong FROM w{r}, b{r}),
+e{r} AS (SELECT SUM(w) FILTER (WHERE wrong) / SUM(w) AS e FROM g{r}),
+w{r + 1} AS (SELECT o_orderkey, y, a, b, c, w * CASE WHEN wrong THEN (1 - e) / e ELSE 1 END / (2 * (1 - e)) AS w FROM g{r}, e{r})"""
+        )
+    rows = " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS round, ROUND(e, 6) AS error, ROUND(ln((1 - e) / e), 5) AS say FROM e{r}" for r in range(rounds))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@named("adaboost_rounds", _boosting_sql(4))
+def adaboost_rounds(t: Tables) -> DataFrame:
+    """Error and say of the first rounds over all orders."""
+    inputs = t.orders.select(
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("label"),
+        F.left("o_orderpriority", F.lit(1)).cast("int").alias("priority"),
+        F.month("o_orderdate").alias("month"),
+        F.year("o_orderdate").alias("year"),
+    )
+    rows = VectorAssembler(inputCols=["priority", "month", "year"], outputCol="features").transform(inputs)
+    model = AdaBoostClassifier(maxIter=4).fit(rows)
+    found = list(enumerate(zip(model.getOrDefault("errors"), model.getOrDefault("says"), strict=True)))
+    table = t.spark.createDataFrame([(i, e, a) for i, (e, a) in found], "round int, error double, say double")
+    return table.select("round", F.round("error", 6).alias("error"), F.round("say", 5).alias("say"))
+
+
 @named(
     "knn_predict",
     """WITH f AS (SELECT doc_id, quality, len(string_split_regex(text, '[\\x09-\\x0D ]+'))::DOUBLE AS n, length(text)::DOUBLE AS size, ln(1 + n_chars::DOUBLE) AS a,

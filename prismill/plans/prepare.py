@@ -260,6 +260,23 @@ def mutual_information(t: Tables) -> DataFrame:
     return rounded(preparation.mutual_information(t.lineitem, ["l_quantity", "l_tax"], "l_returnflag", 4), 9)
 
 
+def _quarter(c: str) -> str:
+    cuts = " ".join(f"WHEN {c} <= quantile_cont({c}, {q}) OVER () THEN {i}" for i, q in enumerate((0.25, 0.5, 0.75)))
+    return f"CASE {cuts} ELSE 3 END"
+
+
+@named(
+    "mutual_information_numbers",
+    f"""WITH q AS (SELECT {_quarter("l_extendedprice")} AS y, {_quarter("l_quantity")} AS a, {_quarter("l_discount")} AS b FROM lineitem),
+c AS (SELECT 'l_quantity' AS column_name, a AS bin, y, COUNT(*) * 1.0 AS n FROM q GROUP BY ALL UNION ALL SELECT 'l_discount', b, y, COUNT(*) * 1.0 FROM q GROUP BY ALL),
+s AS (SELECT *, SUM(n) OVER (PARTITION BY column_name) AS t, SUM(n) OVER (PARTITION BY column_name, bin) AS bt, SUM(n) OVER (PARTITION BY column_name, y) AS yt FROM c)
+SELECT column_name, ROUND(greatest(0.0::DOUBLE, SUM(n / t * ln(CAST(n AS DOUBLE) * t / (CAST(bt AS DOUBLE) * yt))) - (COUNT(*) - COUNT(DISTINCT bin) - COUNT(DISTINCT y) + 1) / (2.0 * MAX(t))), 9) AS mutual_information
+FROM s GROUP BY column_name""",
+)
+def mutual_information_numbers(t: Tables) -> DataFrame:
+    return rounded(preparation.mutual_information(t.lineitem, ["l_quantity", "l_discount"], "l_extendedprice", 4, 4), 9)
+
+
 @named(
     "validate_split",
     """WITH n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY md5(c_custkey || '|42'), c_custkey) > ceil((SELECT COUNT(*) FROM customer) * 0.2) AS side FROM customer),

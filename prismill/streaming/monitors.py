@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from prismill.functions.keys import prompt_key
 from prismill.operators.cleaning import Imputer, Rule, clip, remove_invalid
-from prismill.operators.statistics import two_sample_distance
+from prismill.operators.statistics import counted_values, distance_of_counts
 from prismill.streaming.replay import run_batches
 
 
@@ -88,7 +88,9 @@ def cache_hits(requests: DataFrame, ttl_seconds: int, delay: str) -> DataFrame:
         at, who = at[order], who[order]
         start = state.get[0] if state.exists else None
         hit = np.ones(len(at), dtype=bool)
-        i = 0
+        # A request from before the current entry finds nothing and stores nothing: that time is past.
+        i = int(np.searchsorted(at, start)) if start is not None else 0
+        hit[:i] = False
         while i < len(at):
             if start is None or at[i] >= start + life:
                 start, hit[i] = int(at[i]), False
@@ -110,25 +112,40 @@ def cache_hits(requests: DataFrame, ttl_seconds: int, delay: str) -> DataFrame:
     )
 
 
+def store_baseline(baseline: DataFrame, columns: Sequence[str], category: str, path: str) -> DataFrame:
+    """Write and return (column_name, value, name, n): how often each number and each category occurs. One pass over
+    the baseline; what later compares with it reads one row per distinct value."""
+    numbers = counted_values(baseline, columns, n=F.count(F.lit(1))).select("column_name", "value", F.lit(None).cast("string").alias("name"), "n")
+    names = baseline.where(F.col(category).isNotNull()).groupBy(F.col(category).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    names = names.select(F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("double").alias("value"), "name", "n")
+    numbers.unionByName(names).write.mode("overwrite").parquet(path)
+    return baseline.sparkSession.read.parquet(path)
+
+
 def drift_monitor(
     stream: DataFrame, baseline: DataFrame, columns: Sequence[str], category: str, path: str, max_shift: float = 0.05, p_limit: float = 0.05
 ) -> DataFrame:
     """(batch, kind, name, value, drifted) per micro-batch: change of each category's share, and the distance of each
-    numeric column from the baseline. A repeated batch overwrites its own rows."""
+    numeric column from the baseline. A repeated batch overwrites its own rows.
+
+    The baseline is read once, when the stream starts, and kept as counts below `path`; micro-batches join these.
+    """
     spark = stream.sparkSession
+    stored = store_baseline(baseline, columns, category, f"{path}/baseline")
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        total = df.select(F.count(category)).scalar()
-        counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-        return counts.select(category, F.try_divide(F.col("n").cast("double"), total).alias(name))
+    def shares(counts: DataFrame, name: str) -> DataFrame:
+        total = counts.select(F.sum("n")).scalar()
+        return counts.select("name", F.try_divide(F.col("n").cast("double"), total).alias(name))
 
     def check(batch: DataFrame, number: int) -> None:
         batch.persist()
-        both = shares(batch, "now").join(shares(baseline, "before"), category, "full")
+        seen = batch.where(F.col(category).isNotNull()).groupBy(F.col(category).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        both = shares(seen, "now").join(shares(stored.where("name IS NOT NULL"), "before"), "name", "full")
         shift = F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
-        report = both.select(F.lit("share").alias("kind"), F.col(category).alias("name"), shift.alias("value"), (shift > max_shift).alias("drifted"))
-        sides = batch.select(*columns, F.lit(True).alias("__now")).unionByName(baseline.select(*columns, F.lit(False).alias("__now")))
-        distance = two_sample_distance(sides, columns, F.col("__now"))
+        report = both.select(F.lit("share").alias("kind"), "name", shift.alias("value"), (shift > max_shift).alias("drifted"))
+        now = counted_values(batch, columns, a=F.count(F.lit(1))).withColumn("b", F.lit(0).cast("bigint"))
+        before = stored.where("column_name IS NOT NULL").select("column_name", "value", F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))
+        distance = distance_of_counts(now.unionByName(before).groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
         report = report.unionByName(
             distance.select(F.lit("distance").alias("kind"), F.col("column_name").alias("name"), F.col("distance").alias("value"), (F.col("p_value") < p_limit).alias("drifted"))
         )

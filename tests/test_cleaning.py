@@ -168,3 +168,19 @@ def test_unseen_categories(spark):
     assert sorted(r[0] for r in got.collect()) == [2.0, 3.5, 3.5]
     hot = features.fit_encoder(train, "k", "one_hot").transform(new)
     assert hot.columns == ["k_b"] and [r[0] for r in hot.collect()] == [0, 0, 0]
+
+
+def test_wide_dictionary(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.lpad("id", 7, "0"))).alias("c"), "id")
+    labels = features.fit_encoder(rows, "c", "label")
+    coded = labels.transform(rows)
+    top = n - (n + 2) // 3 + 1
+    facts = coded.agg(F.count_distinct("c_label"), F.min("c_label"), F.max("c_label"), F.count_if((F.col("c_label") == 1) == (F.col("id") % 3 == 0))).first()
+    assert tuple(facts) == (top, 1, top, n)
+    vectors = features.fit_encoder(rows, "c", "one_hot_vector").transform(rows.where("id < 3").unionByName(spark.createDataFrame([(None, -1), ("new", -2)], "c string, id bigint")))
+    found = {r["id"]: (r["c_vec"].size, list(r["c_vec"].indices)) for r in vectors.collect()}
+    # The first category in order, null and a value that was not seen have no flag.
+    assert found == {0: (top - 1, []), 1: (top - 1, [0]), 2: (top - 1, [1]), -1: (top - 1, []), -2: (top - 1, [])}
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        features.fit_encoder(rows, "c", "one_hot")
