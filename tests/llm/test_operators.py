@@ -372,6 +372,46 @@ def test_outliers_do_not_move_the_fit(spark, odd):
     assert outliers.reject_outliers(odd.limit(0)).count() == 0
 
 
+def plain_mcd(x, draw, starts=60):
+    """Smallest log determinant of the scatter of 75 % of the rows, from random starts of six rows each."""
+    h, found = int(0.75 * len(x)), []
+    for _ in range(starts):
+        rows = x[draw.choice(len(x), 6, replace=False)]
+        last = np.inf
+        while True:
+            mean, scatter = rows.mean(0), np.cov(rows.T, bias=True) + 1e-6 * np.eye(5)
+            size = np.linalg.slogdet(scatter)[1]
+            if len(rows) == h and size > last - 1e-9:
+                break
+            last = size if len(rows) == h else np.inf
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(scatter), x - mean)
+            rows = x[np.argsort(d)[:h]]
+        found.append(last)
+    return min(found)
+
+
+def test_fit_is_a_minimum_covariance_determinant(spark):
+    draw = np.random.default_rng(3)
+    rows, wanted = [], {}
+    for g in range(4):
+        turn = np.linalg.qr(draw.normal(size=(5, 5)))[0] * np.array([3, 2.5, 2, 1.5, 1.5])
+        x = draw.normal(size=(240, 5)) @ turn.T + 20
+        x[: 50 * (g % 2)] = 20 + draw.normal(size=5) * 15 + draw.normal(size=(50 * (g % 2), 5)) * 0.5  # a tight cluster of strangers
+        rows += [(f"g{g}", *map(float, v)) for v in x]
+        wanted[f"g{g}"] = plain_mcd(x, draw) + 5 * np.log(outliers.consistency(0.75, 5))
+    df = spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r.g: r["size"] for r in outliers.fit_groups(df.repartition(5), ["g"]).collect()}
+    assert all(got[g] < wanted[g] + 0.1 for g in wanted)
+    again = {r.g: r["size"] for r in outliers.fit_groups(df.repartition(2), ["g"]).collect()}
+    assert again == pytest.approx(got, abs=1e-9)
+
+
+def test_chi_square():
+    assert outliers.chi_square_quantile(0.75, 5) == pytest.approx(6.6257, abs=1e-4)
+    assert outliers.chi_square(18.307, 10) == pytest.approx(0.95, abs=1e-5)
+    assert outliers.consistency(0.999999, 5) == pytest.approx(1, abs=1e-3)
+
+
 # --- 10: vectors ---
 
 
