@@ -52,7 +52,9 @@ class _BoostedModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol,
     @property
     def featureImportances(self) -> DenseVector:
         says = self.getOrDefault(self.says)
-        return DenseVector(sum(a * t.featureImportances.toArray() for a, t in zip(says, self.trees)) / sum(says))
+        found = sum(a * t.featureImportances.toArray() for a, t in zip(says, self.trees))
+        # A tree that is one leaf has none to add.
+        return DenseVector(found / (found.sum() or 1.0))
 
     def _guesses(self, dataset: DataFrame) -> DataFrame:
         """One column per tree, `__guess_0` and on."""
